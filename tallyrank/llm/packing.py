@@ -14,7 +14,9 @@ Memory: one slice of texts, ``POOL_TOKENS`` tokens and one pass's output.
 
 from __future__ import annotations
 
+import json
 import os
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from .arrowtext import expand, flat, slices
 WINDOW = 2048
 END_ID = 1
 POOL_TOKENS = 1 << 20
-CACHE_CHUNKS = 400_000
+SLICE_BYTES = 16 << 20
 
 PIECES = T.StructType(
     [
@@ -53,6 +55,26 @@ def default_tokenizer() -> str:
 _SPACE_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 
 
+def _visible_after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that starts at each position is surely visible."""
+    first = data[at]
+    return (first > 0x20) & (first != 0x7F) & ~np.isin(first, _SPACE_LEADS)
+
+
+def _visible_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each position is surely visible."""
+    last = data[at - 1]
+    ok = (last > 0x20) & (last != 0x7F)
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):
+        lead, open_ = last[wide], np.ones(len(wide), bool)
+        for back in (2, 3, 4):
+            open_ &= (lead & 0xC0) == 0x80
+            lead = np.where(open_, data[np.maximum(at[wide] - back, 0)], lead)
+        ok[wide] = (lead >= 0xC0) & ~np.isin(lead, _SPACE_LEADS)
+    return ok
+
+
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where texts may be cut without changing their tokens: all offsets, and each lone blank between two visible characters.
 
@@ -60,64 +82,115 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     around it.  Next to a character that might be white space outside ASCII no cut is made.
     """
     at = np.flatnonzero(data == 0x20)
-    at = at[(at > 3) & (at < len(data) - 1)]
-    after, before = data[at + 1], data[at - 1]
-    ok = (after > 0x20) & (after != 0x7F) & ~np.isin(after, _SPACE_LEADS)
-    ok &= (before > 0x20) & (before != 0x7F)
-    lead, open_ = before.copy(), (before & 0xC0) == 0x80
-    for back in (2, 3, 4):
-        lead[open_] = data[at[open_] - back]
-        open_ &= (lead & 0xC0) == 0x80
-    ok &= ~np.isin(lead, _SPACE_LEADS) & ~open_
-    return np.union1d(offsets, at[ok])
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[_visible_after(data, at + 1)]
+    at = at[_visible_before(data, at)]
+    marked = np.zeros(len(data) + 1, bool)
+    marked[at] = True
+    marked[offsets] = True
+    return np.flatnonzero(marked)
+
+
+# The pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of_char() -> dict[str, int]:
+    """Byte-level vocabularies write a visible Latin-1 byte as itself and the others as characters from U+0100 on."""
+    seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids by token bytes of a tokenizer file; None unless it is plain byte-level BPE whose ids follow the merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or model["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"][a + b] for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    of = _byte_of_char()
+    return {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(pairs)}
 
 
 class Encoder:
-    """Ids of whole texts; equal stretches between cut points are encoded once."""
+    """Ids of whole texts; equal stretches between cut points of a slice are encoded once.
+
+    Merging is done by tiktoken from the tokenizer file's own vocabulary, which
+    gives the ids of the tokenizers library several times faster; a file of
+    another kind is run by the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-            self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = [c for c in chunks if c not in self.known]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            base, first = len(self.ids), len(self.lengths)
-            self.known.update(zip(new, range(first, first + len(new))))
-            self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, *(np.array(g, np.uint32) for g in got)])
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        ranks = byte_ranks(path)
+        if ranks is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(path)
+            self.whole.encode_special_tokens = True
+            return
+        import tiktoken
+
+        self.whole = None
+        self.merges = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
+
+    def _of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text), text by text."""
+        if self.whole is not None:
+            got = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        else:
+            got = [self.merges.encode_ordinary(t) for t in texts]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        return np.array([i for ids in got for i in ids], np.uint32), counts
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct chunks. Those that start and end at cuts are joined to one text, where they keep their tokens."""
+        data, offsets = flat(chunks)
+        starts, ends = offsets[:-1], offsets[1:]
+        joinable = (ends - starts >= 2) & (data[starts] == 0x20)
+        joinable[joinable] = _visible_after(data, starts[joinable] + 1) & _visible_before(data, ends[joinable])
+        counts = np.zeros(len(chunks), np.int64)
+        text = "".join(chunks.filter(pa.array(joinable)).to_pylist())
+        joined = self.merges.encode_to_numpy(text).astype(np.uint32) if text else np.empty(0, np.uint32)
+        lengths = (ends - starts)[joinable]
+        upto = np.searchsorted(np.cumsum(self.bytes_of[joined]), np.cumsum(lengths), "left") + 1
+        counts[joinable] = np.diff(upto, prepend=0)
+        alone, own = self._of_texts(chunks.filter(pa.array(~joinable)).to_pylist())
+        counts[~joinable] = own
+        ids = np.empty(int(counts.sum()), np.uint32)
+        side = np.repeat(joinable, counts)
+        ids[side], ids[~side] = joined, alone
+        return ids, counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts in them)."""
         data, offsets = flat(column)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.whole is not None:
+            ids, counts = self._of_texts(column.fill_null("").to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(counts)])
         cuts = cut_points(data, offsets)
         chunks = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lengths = self.lengths[number]
-        ids = self.ids[expand(self.starts[number], lengths)]
+        distinct, counts = self._of_chunks(coded.dictionary)
+        number = coded.indices.to_numpy()
+        lengths = counts[number]
+        ids = distinct[expand((np.cumsum(counts) - counts)[number], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[np.searchsorted(cuts, offsets)]
 
 
-def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of lengths, within ``counts``, whose sum is the largest not over ``room``.
+def closest_fill(lengths: list[int], count_of: Callable[[int], int], room: int) -> dict[int, int]:
+    """The multiset of lengths (ascending list, with their counts) whose sum is the largest not over ``room``.
 
     Bit s of ``reach`` says that some multiset sums to s.  A length with a count
     enters in parts 1, 2, 4, ... and a rest, so every smaller count is covered;
@@ -125,16 +198,17 @@ def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """
     mask = (1 << (room + 1)) - 1
     goal, reach, steps = 1 << room, 1, []
-    for length in sorted(counts, reverse=True):
-        left, part = min(counts[length], room // length), 1
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        if reach & goal:
+            break
+        length = lengths[k]
+        left, part = min(count_of(length), room // length), 1
         while left > 0 and not reach & goal:
             part = min(part, left)
             steps.append((length, part, reach))
             reach = (reach | reach << (length * part)) & mask
             left -= part
             part *= 2
-        if reach & goal:
-            break
     total, used = reach.bit_length() - 1, {}
     for length, part, before in reversed(steps):
         if not before >> total & 1:
@@ -149,6 +223,7 @@ class Packer:
     def __init__(self, window: int, emit: Callable):
         self.window, self.emit = window, emit
         self.pool: dict[int, list] = {}
+        self.lengths: list[int] = []  # of the pool, ascending
         self.tokens = 0
         self.sequence = 0
 
@@ -165,7 +240,11 @@ class Packer:
         self._pack(last=True)
 
     def _keep(self, piece: tuple) -> None:
-        self.pool.setdefault(len(piece[2]), []).append(piece)
+        length = len(piece[2])
+        if length not in self.pool:
+            self.pool[length] = []
+            insort(self.lengths, length)
+        self.pool[length].append(piece)
         self.tokens += len(piece[2])
 
     def _take(self, length: int) -> tuple:
@@ -173,6 +252,7 @@ class Packer:
         piece = pieces.pop()
         if not pieces:
             del self.pool[length]
+            self.lengths.pop(bisect_left(self.lengths, length))
         self.tokens -= length
         return piece
 
@@ -185,10 +265,8 @@ class Packer:
 
     def _pack(self, last: bool) -> None:
         while self.tokens >= self.window:
-            counts = {n: len(p) for n, p in self.pool.items()}
-            top = max(counts)
-            counts[top] -= 1
-            used = closest_fill({n: c for n, c in counts.items() if c}, self.window - top)
+            top = self.lengths[-1]
+            used = closest_fill(self.lengths, lambda n, top=top: len(self.pool[n]) - (n == top), self.window - top)
             used[top] = used.get(top, 0) + 1
             fill = sum(n * c for n, c in used.items())
             if fill < self.window:
@@ -196,7 +274,7 @@ class Packer:
                     return  # later documents may fill it
                 pieces = [self._take(n) for n, c in used.items() for _ in range(c)]
                 room = self.window - fill
-                doc_id, start, ids, total = self._take(min((n for n in self.pool if n > room), default=max(self.pool)))
+                doc_id, start, ids, total = self._take(self.lengths[min(bisect_right(self.lengths, room), len(self.lengths) - 1)])
                 pieces.append((doc_id, start, ids[:room], total))
                 self._keep((doc_id, start + room, ids[room:], total))
                 self._put(pieces)
@@ -252,7 +330,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id
 
         packer = Packer(window, emit)
         end = np.array([END_ID], np.uint32)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, offsets = encoder.encode(batch.column(1))
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc_id, np.concatenate([ids[offsets[k] : offsets[k + 1]], end]))
