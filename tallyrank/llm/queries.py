@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality, simhash, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, license_scan, packing, quality, simhash, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -56,10 +60,46 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op9_warc": op9_warc,
+    "op10_license_scan": op10_license_scan,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+
+def _license_sql() -> str:
+    """The licence scan in SQL: every known text is put in canonical form by the same SQL as the documents."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ",\n".join(f"({quoted(i)}, {quoted(k)}, {quoted(t)})" for i, k, t in license_scan.KNOWN)
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    text = f"translate({text}, {quoted(license_scan.TYPOGRAPHIC)}, {quoted(' ' * len(license_scan.TYPOGRAPHIC))})"
+    text = rf"regexp_replace({text}, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+    for spelling, same in license_scan.EQUIVALENT:
+        text = f"replace({text}, '{spelling}', '{same}')"
+    lines = rf"""list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(copyright|c copyright|c [0-9]{{4}}|all rights reserved)\b'))"""
+    return rf"""
+WITH given(license_id, kind, text) AS (VALUES {known}),
+known AS (
+  SELECT sha256(array_to_string(l, ' ')) AS g, kind, min(license_id) AS license_id
+  FROM (SELECT license_id, kind, {lines} AS l FROM given) WHERE len(l) > 0 GROUP BY 1, 2
+),
+doc AS (SELECT doc_id, {lines} AS l FROM documents),
+whole AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS text_digest FROM doc),
+named AS (
+  SELECT doc_id, license_id FROM (SELECT doc_id, unnest(l) AS x FROM doc) JOIN known ON kind = 'notice' AND g = sha256(x)
+),
+text AS (SELECT doc_id, text_digest, license_id AS whole_license FROM whole LEFT JOIN known ON kind = 'text' AND g = text_digest),
+every AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
+  FROM (SELECT * FROM named UNION ALL SELECT doc_id, whole_license FROM text WHERE whole_license IS NOT NULL) GROUP BY doc_id
+),
+n AS (SELECT doc_id, count(*) AS n FROM named GROUP BY doc_id)
+SELECT doc_id, text_digest, whole_license, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_notices
+FROM text LEFT JOIN every USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
     "op1_benchmark_decontamination": rf"""
 WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -120,4 +160,5 @@ g AS (
 )
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """,
+    "op10_license_scan": _license_sql(),
 }
