@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .arrowtext import expand, flat, slices
 
 WINDOW = 20
-MER = 5
+MER = 4
+LEVEL = 3
 SLICE_BYTES = 8 << 20
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
@@ -149,18 +150,36 @@ def _runs(values: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _BLOB = "bucket int, head binary, packed binary"
-_RANGES = "d long, h long, start int, count int"
+_RANGES = "d long, h int, start int, count int"
+
+
+def _bytewise(x: np.ndarray) -> bytes:
+    """Values with their first bytes together, then their second bytes and so on: small numbers then compress to little."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def _head(d, h, start, count) -> bytes:
-    return b"".join([np.int64(len(d)).tobytes(), *(np.asarray(x, np.int64).tobytes() for x in (d, h)), *(np.asarray(x, np.int32).tobytes() for x in (start, count))])
+    """Where runs lie, as one zstd block."""
+    import zstandard
+
+    d, h = np.ascontiguousarray(d, np.int64), np.ascontiguousarray(h, np.int32)
+    step = np.diff(d, prepend=d[:1] * 0)  # ids ascend in a block, so steps are small
+    start, count = np.ascontiguousarray(start, np.int32), np.ascontiguousarray(count, np.int32)
+    parts = [np.int64(len(d)).tobytes(), *(_bytewise(x) for x in (step, h, start, count))]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
 def _read_head(blob: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    d, h = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(2, n)
-    start, count = np.frombuffer(blob, np.int32, 2 * n, 8 + 16 * n).reshape(2, n)
-    return [d, h, start, count]
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.int32, np.int32, np.int32):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    out[0] = np.cumsum(out[0])
+    return out
 
 
 def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int) -> tuple[list, list, list]:
@@ -204,7 +223,7 @@ def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int) ->
     size = at[start + count + window - 1] - at[start]
     k = doc[start]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         own = slice(a, b)
         out[0].append(int(bucket[a]))
@@ -249,7 +268,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, mer: int = MER) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(head, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "head", "packed"])
 
     def ranges(columns: list[np.ndarray]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), k) for c, k in zip(columns, kinds)], names=["d", "h", "start", "count"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +301,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, id_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"),
-        F.xxhash64(text).alias("h"), text.cast("binary").alias("text"),
+        F.hash(text).alias("h"), text.cast("binary").alias("text"),
     )
     found = repeated_ranges(keyed, window, mer).groupBy("d", "h").agg(F.collect_list(F.struct("start", "count")).alias("r"))
     found = found.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
