@@ -102,29 +102,32 @@ def _says(e: Element) -> bool:
     return any(isinstance(c, str) and not c.isspace() for c in e.children)
 
 
-def _importance(root: Element, known: dict[int, float]) -> dict[int, float]:
-    """Composite importance of the elements of a page outside its article, by object; a node that the site does not call low counts 1.
+def noisy_elements(root: Element, known: dict[int, float]) -> set[int]:
+    """Elements of a page outside its article, by object, that are of low composite importance with all below them.
 
-    An element with children joins its own value with the mean of theirs and of its own text's.
+    An element with children joins its own value with the mean of theirs and of
+    its own text's; a node that the site does not call low counts 1.
     """
     order: list[tuple[Element, str, int]] = [(root, "", -1)]
     for at, (x, path, _) in enumerate(order):  # grows while it is read: parents come before children
         if not is_article(x):
             order += [(k, f"{path}/{k.label}", at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
-    below = [(0.0, 0)] * len(order)
-    out: dict[int, float] = {}
+    below = [(0.0, 0, True)] * len(order)  # sum and number of the children's importance, whether all are noisy
+    noisy: set[int] = set()
     for at in range(len(order) - 1, -1, -1):
         x, path, parent = order[at]
         own = 1.0 if is_article(x) else known.get(_hash(path), 1.0)
-        total, n = below[at]
+        total, n, quiet = below[at]
         if n and _says(x):
             total, n = total + own, n + 1
         value = (1 - GAMMA) * own + GAMMA * total / n if n else own
-        out[id(x)] = value
+        quiet = quiet and value < LOW_IMPORTANCE
+        if quiet:
+            noisy.add(id(x))
         if parent >= 0:
-            t, k = below[parent]
-            below[parent] = (t + value, k + 1)
-    return out
+            t, k, q = below[parent]
+            below[parent] = (t + value, k + 1, q and quiet)
+    return noisy
 
 
 def _articles(root: Element) -> list[Element]:
@@ -139,7 +142,7 @@ def _articles(root: Element) -> list[Element]:
     return found
 
 
-def _blocks(e: Element, inside: bool, low: dict[int, float], out: list[str], line: list[str]) -> None:
+def _blocks(e: Element, inside: bool, noisy: set[int], out: list[str], line: list[str]) -> None:
     """Text of the blocks below ``e`` in page order; iterative, so any depth will do."""
 
     def flush() -> None:
@@ -161,7 +164,7 @@ def _blocks(e: Element, inside: bool, low: dict[int, float], out: list[str], lin
         if x.tag == "br":
             line.append(" ")
             continue
-        if x is not e and (is_noise(x, within) or low.get(id(x), 1.0) < LOW_IMPORTANCE):
+        if x is not e and (is_noise(x, within) or id(x) in noisy):
             if x.tag in BLOCK:
                 flush()
             else:
@@ -183,17 +186,16 @@ def main_text(html: str, known: dict[int, float] | None = None) -> str:
     tops = _articles(root)
     mains = [t for t in tops if t.tag == "main" or t.attrs.get("role", "").lower() == "main"]
     tops = mains or tops
-    low: dict[int, float] = {}
+    noisy: set[int] = set()
     if not tops:
         tops = [root]
         if known:
-            low = _importance(root, known)
+            noisy = noisy_elements(root, known)
     out: list[str] = []
     for t in tops:
-        _blocks(t, is_article(t), low, out, [])
-    if not out and low:
-        for t in tops:
-            _blocks(t, False, {}, out, [])
+        _blocks(t, is_article(t), noisy, out, [])
+    if not out and noisy:  # a page that says only what its site always says
+        _blocks(root, False, set(), out, [])
     return "\n".join(out)
 
 

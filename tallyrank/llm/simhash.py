@@ -192,26 +192,27 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
 
 
 def _components_of(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints in ``rows`` (doc_id, fp)."""
+    """(fp, root, component_id) of the distinct fingerprints in ``rows`` (doc_id, fp); root is a component's least fingerprint."""
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(points))
     linked = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = cut(linked)
     ids = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    return linked.join(ids, "root").select("fp", "component_id")
+    return linked.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, fp, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs``: doc_id, text_hash, fp, fingerprint (16 hex digits), root, component_id.
 
     component_id is the smallest doc_id reachable over links; a null id counts
-    only where a component has no other.  Texts without words share the
+    only where a component has no other.  root, the component's least
+    fingerprint, tells components apart even where ids repeat.  Texts without words share the
     fingerprint zero and are linked like any other.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
     ids = cut(_components_of(rows)).withColumnRenamed("fp", "__fp")
     out = rows.join(ids, rows["fp"] == ids["__fp"]).drop("__fp")
-    return out.select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,12 +223,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table of dropped rows is too large to broadcast.
     """
     marked = near_duplicates(docs, id_col, text_col)
-    keyed = marked.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    keyed = cut(keyed)
-    # A component of null ids alone has no component_id; its rows stand by their fingerprint's text hash.
-    best = cut(keyed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")))
-    best = best.withColumnRenamed("component_id", "__c")
-    verdict = keyed.join(best, keyed["component_id"].eqNullSafe(best["__c"]))
+    keyed = cut(marked.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    best = cut(keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")))
+    best = best.withColumnRenamed("root", "__root")
+    verdict = keyed.join(best, keyed["root"] == best["__root"])
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     odd = cut(verdict.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), stays.alias("__stays")))
     if odd.count() * 32 <= BROADCAST_BYTES:
