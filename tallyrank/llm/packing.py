@@ -30,7 +30,7 @@ from .arrowtext import expand, flat, slices
 WINDOW = 2048
 END_ID = 1
 POOL_TOKENS = 1 << 20
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 5 << 20
 
 PIECES = T.StructType(
     [

@@ -46,7 +46,8 @@ ROUNDS = 3
 GAPPED_WORDS = 100
 PENALTY = 5.0
 GRAMS_LOG2 = 20
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 100_000
+SLICE_BYTES = 4 << 20
 NO_WORDS = -4.0
 
 # (j, k) offsets of the second and third character after the first, and the weight of each.
@@ -112,16 +113,16 @@ class Model:
 
     def windows(self, points: np.ndarray) -> np.ndarray:
         out = np.empty(len(points), np.float32)
-        for at in range(0, len(points), 1 << 15):
-            index, weight = subsequences(points[at : at + (1 << 15)])
-            out[at : at + (1 << 15)] = (self.weights[index] * weight).sum(axis=1)
+        for at in range(0, len(points), 1 << 13):
+            index, weight = subsequences(points[at : at + (1 << 13)])
+            out[at : at + (1 << 13)] = (self.weights[index] * weight).sum(axis=1)
         return out + np.float32(self.bias)
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
-        points, owner = windows_of(tokens)
         best = np.full(len(tokens), NO_WORDS, np.float32)
-        if len(points):
-            np.maximum.at(best, owner, self.windows(points))
+        for at in range(0, len(tokens), 1 << 15):
+            points, owner = windows_of(tokens[at : at + (1 << 15)])
+            np.maximum.at(best, owner + at, self.windows(points))
         return best
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -129,15 +130,24 @@ class Model:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights (last: intercept) that minimise |w|^2/2 + sum cost * max(0, 1 - y f)^2, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
+    """Weights (last: intercept) that minimise |w|^2/2 + sum cost * max(0, 1 - y f)^2, by Newton's method.
+
+    The normal equations are summed over blocks of rows, so no copy of ``x`` is made.
+    """
+    m = x.shape[1] + 1
+    w = np.zeros(m)
+    ridge = np.eye(m)
     ridge[-1, -1] = 1e-3
     for _ in range(20):
-        act = y * (x @ w) < 1
-        c = cost[act, None]
-        new = np.linalg.solve(ridge + 2 * (x[act] * c).T @ x[act], 2 * (x[act] * c).T @ y[act])
+        left, right = ridge.copy(), np.zeros(m)
+        for at in range(0, len(x), 2048):
+            part = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))]).astype(np.float64)
+            yy = y[at : at + 2048]
+            act = yy * (part @ w) < 1
+            weighted = part[act] * cost[at : at + 2048][act, None]
+            left += 2 * weighted.T @ part[act]
+            right += 2 * weighted.T @ yy[act]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -155,13 +165,14 @@ def _fit(points: np.ndarray, y: np.ndarray, cost: np.ndarray, landmarks: np.ndar
     """Nyström embedding on ``landmarks`` and the machine in it, folded to feature weights."""
     base = _dense(landmarks)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    project = (base.T @ root).astype(np.float32)  # features -> embedding
+    root = (vectors / np.sqrt(np.maximum(values, 1e-3))).astype(np.float32)
+    project = base.T @ root  # features -> embedding
     x = np.empty((len(points), project.shape[1]), np.float32)
-    for at in range(0, len(points), 512):
-        index, weight = subsequences(points[at : at + 512])
-        x[at : at + 512] = np.einsum("nf,nfm->nm", weight, project[index])
-    w = _svm(x.astype(np.float64), y.astype(np.float64), cost)
+    for at in range(0, len(points), 128):
+        index, weight = subsequences(points[at : at + 128])
+        x[at : at + 128] = np.matmul(weight[:, None, :], project[index])[:, 0]
+    del base
+    w = _svm(x, y.astype(np.float64), cost)
     return Model((project @ w[:-1].astype(np.float32)).astype(np.float32), float(w[-1]))
 
 
@@ -178,11 +189,15 @@ def _four_grams(points: np.ndarray) -> np.ndarray:
 
 def _grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(token number, four-gram) without repeats, by token."""
-    points, owner = windows_of(tokens)
-    grams = _four_grams(points)
-    keep = grams >= 0
-    pair = np.unique(np.repeat(owner.astype(np.int64), grams.shape[1])[keep.ravel()] << GRAMS_LOG2 | grams[keep])
-    return pair >> GRAMS_LOG2, pair & ((1 << GRAMS_LOG2) - 1)
+    pairs = [np.empty(0, np.int64)]
+    for at in range(0, len(tokens), 1 << 14):
+        points, owner = windows_of(tokens[at : at + (1 << 14)])
+        grams = _four_grams(points)
+        keep = grams >= 0
+        number = np.repeat(owner.astype(np.int64) + at, grams.shape[1])[keep.ravel()]
+        pairs.append(np.unique(number << GRAMS_LOG2 | grams[keep]))
+    pair = np.concatenate(pairs)
+    return (pair >> GRAMS_LOG2).astype(np.int32), (pair & ((1 << GRAMS_LOG2) - 1)).astype(np.int32)
 
 
 def _first_evidence(docs: list[np.ndarray], toxic: np.ndarray, gram_tok: np.ndarray, gram: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -386,7 +401,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
         scorer = Scorer(model)
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
-            parts = [scorer.worst(b.column(0)) for b in slices(iter([batch]), "text")]
+            parts = [scorer.worst(b.column(0)) for b in slices(iter([batch]), "text", SLICE_BYTES)]
             yield pa.array(model.probability(np.concatenate(parts)) if parts else [], pa.float64())
 
     score = F.arrow_udf(work, "double")(F.col(text_col))
