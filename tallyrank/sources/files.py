@@ -28,6 +28,10 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("")) if s.isDirectory())
 
+    def remove(self) -> None:
+        """Delete the directory with all it holds."""
+        self._fs.delete(self._at(""), True)
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:

@@ -99,17 +99,19 @@ class Store:
 
     # Writing
 
-    def bulk_index(self, records: DataFrame) -> int:
+    def bulk_index(self, records: DataFrame, marks: dict | None = None) -> int:
         """Append records (id, values MAP<STRING, FLOAT>), in order; returns how many."""
-        return self.append(ingest.to_wide(records))
+        return self.append(ingest.to_wide(records), marks=marks)
 
     def index(self, ident: str, values: dict[str, float]) -> int:
         """Append one record. A batch of one: costly, for occasional use."""
         return self.bulk_index(ingest.from_records(self.spark, [(ident, values)]))
 
-    def append(self, wide: DataFrame, cluster_by: list[str] | None = None) -> int:
+    def append(self, wide: DataFrame, cluster_by: list[str] | None = None, marks: dict | None = None) -> int:
         """Append wide rows (id and FLOAT fields).
 
+        ``marks`` are entries of the manifest that change in the same commit.
+
         Rows get dense ids in the order of the frame.  ``cluster_by`` sorts the
         stored rows by those fields, so that pruned scans can skip row groups.
         """
@@ -129,14 +131,17 @@ class Store:
         stored = self.spark.read.parquet(f"{self.path}/{name}")
         aggs = [f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(fields) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
         stat = stored.agg(F.count("*").alias("rows"), *aggs).first()
-        Folder(self.spark, f"{self.path}/_drafts")._fs.delete(Folder(self.spark, draft)._at(""), True)
+        Folder(self.spark, draft).remove()
         if not stat["rows"]:
+            if marks:
+                self._commit({**self.manifest, **marks, "version": self.manifest["version"] + 1})
             return 0
         batch = {
             "dir": name, "rows": stat["rows"], "first_id": base + 1,
             "fields": {c: [stat[f"lo{i}"], stat[f"hi{i}"], stat[f"n{i}"]] for i, c in enumerate(fields) if stat[f"n{i}"]},
         }
-        self._commit({"version": self.manifest["version"] + 1, "next_id": base + 1 + stat["rows"], "batches": [*self.manifest["batches"], batch]})
+        batches = [*self.manifest["batches"], batch]
+        self._commit({**self.manifest, **(marks or {}), "version": self.manifest["version"] + 1, "next_id": base + 1 + stat["rows"], "batches": batches})
         return stat["rows"]
 
     def compact(self, cluster_by: list[str] | None = None) -> None:
@@ -149,7 +154,7 @@ class Store:
         rows.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{self.path}/{name}")
         totals = {c: [r.lo, r.hi, sum(b["fields"].get(c, [0, 0, 0])[2] for b in self.manifest["batches"])] for c, r in self.fields().items()}
         batch = {"dir": name, "rows": sum(b["rows"] for b in self.manifest["batches"]), "first_id": 1, "fields": {c: totals[c] for c in fields if c in totals}}
-        self._commit({"version": self.manifest["version"] + 1, "next_id": self.manifest["next_id"], "batches": [batch]})
+        self._commit({**self.manifest, "version": self.manifest["version"] + 1, "batches": [batch]})
 
     def _commit(self, manifest: dict) -> None:
         if not self._folder.create(f"{manifest['version']:012d}.json", json.dumps(manifest)):

@@ -21,12 +21,9 @@ def feed(records: DataFrame, store: Store, checkpoint: str, **trigger) -> Stream
 
     def append(batch: DataFrame, number: int) -> None:
         store.reload()
-        key = f"{checkpoint}#{number}"
-        if key in store.manifest.get("fed", []):
-            return
-        store.bulk_index(batch.filter(F.col("values").isNotNull()))
-        # The mark shares the next commit's manifest chain: one small version of its own.
-        fed = [*(k for k in store.manifest.get("fed", []) if not k.startswith(f"{checkpoint}#")), key]
-        store._commit({**store.manifest, "version": store.manifest["version"] + 1, "fed": fed})
+        fed = store.manifest.get("fed", {})
+        if number > fed.get(checkpoint, -1):
+            # Rows and mark become visible in one commit.
+            store.bulk_index(batch.filter(F.col("values").isNotNull()), {"fed": {**fed, checkpoint: number}})
 
     return records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -126,6 +126,10 @@ def test_stream_feeds_a_store_once(spark, tmp_path, store):
     feed(read_json_stream(spark, str(folder)), store, mark).awaitTermination()
     store.reload()
     assert collect(store.query(Query(AGE)))["Ids"] == ["c", "b", "a"]
+    assert store.manifest["fed"] == {mark: 1}
+    store.index("d", {"age": 0})
+    store.compact()
+    assert Store(spark, store.path).manifest["fed"] == {mark: 1}
 
 
 @pytest.fixture
