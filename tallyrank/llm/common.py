@@ -23,6 +23,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyrank-ckpt-"))
 
 
+#: Bytes of one Arrow batch sent to a Python worker.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, as whole texts differ in length a thousandfold; a smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = str(spark.conf.get(key, "64m")).strip().lower()
+    number = int(text.rstrip("bkmg") or 0)
+    now = number << {"k": 10, "m": 20, "g": 30}.get(text.rstrip("b")[-1:], 0)
+    if now <= 0 or now > ARROW_BATCH_BYTES:
+        spark.conf.set(key, f"{ARROW_BATCH_BYTES}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import BROADCAST_BYTES, ascii_lower, cut
 
 #: What separates words, after lower-casing: all ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,14 +129,22 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, mode: str = "document
     report = contamination_report(docs, items, n, id_col, text_col)
     hit = report.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("hits").alias("__hits"))
     hit = cut(hit.dropDuplicates(["__id", "__h"]))
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    on = (own == hit["__h"]) & docs[id_col].eqNullSafe(hit["__id"])
     if mode == "documents":
-        return docs.join(hit, on, "left_anti")
-    joined = docs.join(hit, on, "left")
+        hit = hit.drop("__hits")
+    # Texts stay where they are while the table of contaminated documents is small.
+    size = hit.agg(F.sum(F.lit(32) if mode == "documents" else 32 + 32 * F.size("__hits")).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        hit = F.broadcast(hit)
+    # Rows travel as one struct, so no name of theirs can clash.
+    text = F.col(text_col)
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    on = (packed["h"] == hit["__h"]) & packed["id"].eqNullSafe(hit["__id"])
+    if mode == "documents":
+        return packed.join(hit, on, "left_anti").select("row.*")
+    joined = packed.join(hit, on, "left").select("row", "__hits")
+    text = F.col("row").getField(text_col)
     # One piece per word: the word with the separators before it; what follows the last word is a piece too.
-    pieces = F.regexp_extract_all(docs[text_col], F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$)"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$)"), F.lit(1))
     gone = F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
     cleaned = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(gone, i)), "")
-    text = F.when(F.col("__hits").isNull(), docs[text_col]).otherwise(cleaned)
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.withColumn("row", F.col("row").withField(text_col, F.when(F.col("__hits").isNull(), text).otherwise(cleaned))).select("row.*")

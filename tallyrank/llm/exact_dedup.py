@@ -84,10 +84,9 @@ def annotate_duplicates(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     comes after all others.  Rows equal in digest, length and id are one
     document given several times: all carry ``kept`` and ``n_equal_best`` tells
     how many there are; :func:`exact_dedup` leaves one.  An empty table gives an
-    empty result.  Columns of those names already in the input are replaced.
+    empty result.
     """
     rows = keyed.count()
-    keyed = keyed.drop("keep_id", "group_size", "kept", "text_sha256", "n_equal_best")
     maybe, alone = split_by_filter(keyed, rows)
     best = (
         maybe.groupBy(SHA, LEN, F.col(id_col).alias("__id")).agg(F.count("*").alias("n"))
@@ -124,10 +123,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that the filter shows to be unique are never shuffled.
     """
-    marked = annotate_duplicates(with_digest(docs, text_col), id_col).filter("kept")
+    # Rows travel as one struct, so no name of theirs can clash.
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = annotate_duplicates(with_digest(packed).drop("text"), "id").filter("kept")
     once = marked.filter("n_equal_best = 1")
     again = marked.filter("n_equal_best > 1").dropDuplicates([SHA])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(again).select("row.*")
 
 
 def exact_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, bound_batches, cut
 from .dom import BLOCK, RAW, Element, parse
 
 #: Hosts of fewer different pages are judged by names alone.
@@ -243,6 +243,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     is judged by names alone.  Repeated pages count once in the site's tree and
     each keep their row.
     """
+    bound_batches(pages.sparkSession)
     keyed = _keyed(pages, id_col, url_col, html_col)
     low = cut(low_nodes(keyed))
     table = low.select(F.col("host").alias("__host"), F.col("nodes.node").alias("nodes"), F.col("nodes.v").alias("values"))

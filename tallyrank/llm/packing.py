@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import expand, flat, slices
+from .common import bound_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -308,6 +309,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id
     often as they come.  A sequence belongs to one partition: its number is the
     partition's in the upper bits and a counter below.
     """
+    bound_batches(docs.sparkSession)
     path = tokenizer
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import flat, slices
+from .common import bound_batches
 from .toxicity import held_out
 
 #: Bound of the labelled sample, for each label value.
@@ -210,6 +211,7 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Forest:
             x = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "label", "x"])
 
+    bound_batches(docs.sparkSession)
     got = rows.mapInArrow(work, "id long, label int, x array<float>").orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_ROWS).collect()
     if not got:
         return fit(np.empty((0, len(FEATURES)), np.float32), np.empty(0))
@@ -225,6 +227,7 @@ def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> Da
             parts = [forest.probability(statistics(b.column(0))) for b in slices(iter([batch]), "text")]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
+    bound_batches(docs.sparkSession)
     score = F.arrow_udf(work, "double")(F.col(text_col))
     return docs.withColumn("quality_score", score).withColumn("good", F.col("quality_score") >= THRESHOLD)
 

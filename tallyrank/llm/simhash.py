@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, bound_batches, cut
 from .components import connected_components
 
 SEED = 42
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t or b"") for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
     return narrow.mapInArrow(work, "doc_id long, text_hash long, fp long")
@@ -231,9 +232,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     odd = cut(verdict.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), stays.alias("__stays")))
     if odd.count() * 32 <= BROADCAST_BYTES:
         odd = F.broadcast(odd)
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    on = (own == odd["__h"]) & docs[id_col].cast("long").eqNullSafe(odd["__id"])
-    columns = [docs[c] for c in docs.columns]
-    once = docs.join(odd, on, "left_anti")
-    several = docs.join(odd.filter("__stays"), on).select(*columns, "__id", "__h").dropDuplicates(["__id", "__h"]).drop("__id", "__h")
-    return once.unionByName(several)
+    # Rows travel as one struct, so no name of theirs can clash.
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    on = (packed["h"] == odd["__h"]) & packed["id"].eqNullSafe(odd["__id"])
+    once = packed.join(odd, on, "left_anti")
+    several = packed.join(odd.filter("__stays"), on, "left_semi").dropDuplicates(["id", "h"])
+    return once.unionByName(several).select("row.*")

@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
+from .common import bound_batches
 
 #: Bounds of the labelled sample: documents of either kind, and characters of one.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 20_000
@@ -380,12 +382,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """At most ``most[value]`` labelled rows (text, label) for each label value, of ids that are not held out, in the order of a hash of the id."""
     own = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("__id").isNotNull())
     own = own.filter(~held_out(F.col("__id"), modulus, remainder))
-    rows = []
-    for value, n in most.items():
-        chosen = own.filter(F.col("label") == value).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(n)
-        text = docs.filter(F.char_length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-        rows += text.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id").limit(n).select("text", "label").collect()
-    return rows
+    order = [F.xxhash64("__id"), F.col("__id")]
+    chosen = reduce(DataFrame.unionByName, [own.filter(F.col("label") == v).dropDuplicates(["__id"]).orderBy(*order).limit(n) for v, n in most.items()])
+    text = docs.filter(F.char_length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    # An id given both labels, or to several documents, may give more rows: the bound holds for these too.
+    return text.join(F.broadcast(chosen), "__id").orderBy(*order, "label", "text").limit(sum(most.values())).select("text", "label").collect()
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -404,6 +405,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             parts = [scorer.worst(b.column(0)) for b in slices(iter([batch]), "text", SLICE_BYTES)]
             yield pa.array(model.probability(np.concatenate(parts)) if parts else [], pa.float64())
 
+    bound_batches(docs.sparkSession)
     score = F.arrow_udf(work, "double")(F.col(text_col))
     return docs.withColumn("toxic_score", score).withColumn("toxic", F.col("toxic_score") >= THRESHOLD)
 

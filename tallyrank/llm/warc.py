@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, cut, ensure_checkpoint_dir
+from .common import BROADCAST_BYTES, bound_batches, cut, ensure_checkpoint_dir
 
 MIN_REVISIT_BYTES = 100
 SPLIT_BYTES = 32 << 20
@@ -109,6 +109,7 @@ def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
 
+    bound_batches(planned.sparkSession)
     members = planned.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to").mapInArrow(work, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
         "lineSep", NOTHING.decode("latin-1")

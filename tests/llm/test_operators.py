@@ -86,9 +86,25 @@ def test_exact_dedup_odd_rows(odd, nothing):
     assert exact_dedup.exact_dedup(nothing).collect() == [] and exact_dedup.exact_dedup_report(nothing).collect() == []
 
 
-def test_exact_dedup_clashing_columns(odd):
-    more = odd.selectExpr("*", "1 as kept", "2 as group_size", "text as `Keep_ID`")
-    assert exact_dedup.exact_dedup(more.select("doc_id", "text", "kept", "group_size")).columns == ["doc_id", "text", "kept", "group_size"]
+NAMES = ["__sha", "__len", "row", "id", "kept", "best", "keep_id", "__id", "__h", "h", "d", "w", "lines", "hits", "root", "fp", "label", "score", "toxic", "count"]
+
+
+def test_clashing_columns_stay_as_they_are(spark, odd, docs, items):
+    more = odd.filter("doc_id is not null").selectExpr("doc_id", "text", *[f"'{n}' as `{n}`" for n in NAMES])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for result in (
+        exact_dedup.exact_dedup(more), simhash.near_dedup(more), decontaminate.remove_contaminated(more, items.limit(0)),
+        decontaminate.remove_contaminated(more, items, mode="spans"), toxicity.remove_toxic(more, labels),
+    ):
+        assert result.columns == more.columns
+        for r in result.collect():
+            assert all(r[n] == n for n in NAMES)
+    for report in (
+        exact_dedup.exact_dedup_report(more), simhash.near_duplicates(more), decontaminate.contamination_report(more, items), substring_dedup.substring_dedup(more),
+        license_scan.license_report(more), toxicity.toxicity_report(more, labels), quality.quality_report(more, labels),
+    ):
+        assert report.count() == more.count()
+    assert packing.pack(more).count() >= more.count()
 
 
 # Decontamination
@@ -190,6 +206,16 @@ def test_substring_dedup_over_slices_and_odd_rows(docs, odd, nothing, monkeypatc
     assert substring_dedup.substring_dedup(nothing).collect() == []
 
 
+def test_heavy_stretches_only_reroute(docs, monkeypatch):
+    keyed = docs.selectExpr("cast(coalesce(text, '') as binary) as text")
+    heavy = substring_dedup.heavy_stretches(keyed, 1, 0.02)
+    assert 0 < len(heavy) <= 100
+    assert len(substring_dedup.heavy_stretches(keyed.limit(0))) == 0
+    monkeypatch.setattr(substring_dedup, "heavy_stretches", lambda keyed, mer: heavy)
+    got = by_id(substring_dedup.substring_dedup(docs, 4, 1))
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute_substrings(ROWS, 4)
+
+
 def test_equal_hashes_are_settled_by_words():
     number = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
     same = np.zeros(len(number), np.uint64)
