@@ -12,6 +12,13 @@ window that repeats inside the slice is reported there and only its first
 occurrence goes on.  A passage shared by a third of the documents so reaches
 its bucket once per slice, not once per document.
 
+What is left of a frequent phrase are windows that reach over its ends, with ever
+different words beside it.  A pass over all texts therefore counts the stretches
+first, and those that make up more than ``HEAVY`` of all words come last in the
+order of minimisers: a window takes one only where it has no other.  There are
+at most 2 / HEAVY of them, which bounds what is sent to the tasks.  They decide
+where windows meet, never which are equal.
+
 The strings for one bucket and slice are one zstd block.  A bucket is handled
 at a time, in the order of a spilling sort.
 """
@@ -26,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import expand, flat, slices
+from .common import bound_batches, cut
 
 WINDOW = 20
 MER = 4
 LEVEL = 3
 SLICE_BYTES = 8 << 20
+#: Share of all words above which a stretch is heavy.
+HEAVY = 1e-5
 #: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 6
 _C = 0x9E3779B97F4A7C15
 _NO_ID = np.iinfo(np.int64).max
 
@@ -182,7 +192,44 @@ def _read_head(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int) -> tuple[list, list, list]:
+def heavy_stretches(keyed: DataFrame, mer: int = MER, share: float = HEAVY) -> np.ndarray:
+    """Hashes of the stretches that occur more than ``share`` times the number of words, sorted; at most 2 / share.
+
+    A slice reports the stretches that reach half that share of its own words.
+    What it leaves out sums to less than half the share of all words, so every
+    heavy stretch keeps a reported count over half.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            packed, at, counts = packed_words(*flat(batch.column(0)))
+            _, hashes = word_numbers(packed, at)
+            (mers,) = stretch_hashes(hashes, (mer,))
+            mers.sort()
+            first = np.flatnonzero(np.concatenate([[True], mers[1:] != mers[:-1]])) if len(mers) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate([first, [len(mers)]]))
+            often = times > max(1, share / 2 * len(hashes))
+            found = np.concatenate([mers[first[often]].view(np.int64), [0]])  # the last row has the number of words
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(found)) == len(found) - 1), pa.array(found), pa.array(np.concatenate([times[often], [len(hashes)]]), pa.int64())], names=["words", "h", "n"]
+            )
+
+    sums = cut(keyed.select("text").mapInArrow(count, "words boolean, h long, n long").groupBy("words", "h").agg(F.sum("n").alias("n")))
+    total = sums.filter("words").agg(F.sum("n").alias("n")).first()["n"] or 0
+    rows = sums.filter(~F.col("words") & (F.col("n") > share / 2 * total)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def _ordered(mers: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Rank of each stretch among minimisers: its hash, the heavy ones after all others."""
+    rank = mers >> np.uint64(1)
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, mers), len(heavy) - 1)
+        rank |= (heavy[at] == mers).astype(np.uint64) << np.uint64(63)
+    return rank
+
+
+def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int, heavy: np.ndarray) -> tuple[list, list, list]:
     """Rows of _BLOB for one slice (columns d, h, text); bucket -1-k holds ranges that the slice settled itself."""
     import zstandard
 
@@ -214,7 +261,7 @@ def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int) ->
     index = index[~repeated]
     if not len(index):
         return out
-    least = sliding_least(mers, window - mer + 1)[index]
+    least = sliding_least(_ordered(mers, heavy), window - mer + 1)[index]
     first, count = _runs(index, least, doc[index])
     start = index[first]
     bucket = (_mix(least[first] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
@@ -260,10 +307,11 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, mer: int = MER) -> D
     """(d, h, start, count): ``count`` windows from word ``start`` of document (d, h) occur earlier. ``keyed`` has d, h, text."""
     partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS_PER_PARTITION
+    heavy = keyed.sparkSession.sparkContext.broadcast(heavy_stretches(keyed, mer))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            number, head, packed = _super_kmers(batch, window, mer, buckets)
+            number, head, packed = _super_kmers(batch, window, mer, buckets, heavy.value)
             if number:
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(head, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "head", "packed"])
 
@@ -298,6 +346,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, id_co
     earlier in the same document.  Null and empty texts have no words.  Rows
     equal in id and text are one document, and each gets its result.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"),
