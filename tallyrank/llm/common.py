@@ -64,13 +64,3 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower())
     )
-
-
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name starting with ``base`` that ``df`` does not have (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    name, k = base, 0
-    while name.lower() in taken:
-        k += 1
-        name = f"{base}_{k}"
-    return name

@@ -49,9 +49,27 @@ _NOISE_WORDS = re.compile(
 )
 
 
+#: Heads of the article itself, where they are named as such.
+_ARTICLE_HEAD = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[\s_-]?(?:header|head)(?=$|[\s_-])", re.I)
+
+
+def _wraps_article(form: Element) -> bool:
+    """Whether a form is only the shell of a page: an article, main or h1 is in it."""
+    work = [form]
+    while work:
+        for c in work.pop().children:
+            if not isinstance(c, str):
+                if c.tag in ("article", "main", "h1"):
+                    return True
+                work.append(c)
+    return False
+
+
 def is_noise(e: Element, inside: bool) -> bool:
     """Whether names alone say that an element is no part of the article; ``inside`` an article, header is its head."""
-    if e.tag in _NOISE_TAGS or (e.tag == "header" and not inside):
+    if e.tag == "form" and _wraps_article(e):
+        return False
+    if e.tag in _NOISE_TAGS or (e.tag == "header" and not inside and not _ARTICLE_HEAD.search(e.attrs.get("class", ""))):
         return True
     if not e.attrs or e.tag in ("html", "body", "main", "article"):
         return False
@@ -62,7 +80,7 @@ def is_noise(e: Element, inside: bool) -> bool:
         return True
     names = f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}"
     if names.strip():
-        found = _NOISE_WORDS.search(names)
+        found = _NOISE_WORDS.search(_ARTICLE_HEAD.sub(" ", names))
         if found and not (inside and re.search(r"header|masthead", found[0], re.I)):
             return True
     return False
@@ -250,13 +268,19 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     size = low.agg(F.sum(F.size("nodes")).alias("n")).first()["n"] or 0
     if size * 64 <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    joined = keyed.join(table, keyed["host"] == F.col("__host"), "left").select("page_id", "url", "html", "nodes", "values")
+    joined = keyed.join(table, keyed["host"] == F.col("__host"), "left").select("page_id", "url", "html", "host", "nodes", "values")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[int, float]] = {}
         for batch in slices(batches, "html", SLICE_BYTES):
             texts = []
-            for html, nodes, values in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                texts.append(main_text(html, dict(zip(nodes, values)) if nodes else None))
+            nodes, values = batch.column(4), batch.column(5)
+            for k, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = dict(zip(nodes[k].as_py() or (), values[k].as_py() or ()))
+                texts.append(main_text(html, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

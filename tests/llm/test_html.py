@@ -24,6 +24,8 @@ def test_article_without_the_rest():
         ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>a &lt; b < c</p>", "a < b < c"), ("<p>x<!-- <p>no</p> -->y</p>", "xy"), ("<p>open <b", "open"),
         ("<script>never closed <p>x", ""), ("<div><div><p>a</p>tail</div></div>", "a\ntail"), ("<article></article><p>out</p>", ""), ("<p hidden>a</p><p style='display: none'>b</p><p>c</p>", "c"),
         ("<P CLASS='Sidebar'>a</P><p class=\"shadow\">b</p>", "b"), ("</p>a</div>b", "ab"), ("<p>&#x41;&#66;&nosuch;&amp;lt;</p>", "AB&nosuch;&lt;"), ("<article><p>1</p></article><div>x</div><article><p>2</p></article>", "1\n2"),
+        ("<form id='shell'><h1>t</h1><p>a</p></form>", "t\na"), ("<div class='entry-header'><h1>t</h1></div><div class='page-header'>x</div><p>a</p>", "t\na"),
+        ("<header class='post-header'><h1>t</h1></header><header>x</header><p>a</p><form><p>q</p></form>", "t\na"),
         ("<body><p>a</p><textarea><p>b</p></textarea></body>", "a"), ("<p>é   z</p>", "é z"),
     ],
 )

@@ -500,4 +500,9 @@ def test_license_scan(spark, odd, nothing):
 def test_checkpoints_follow_the_session(spark):
     common.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
-    assert common.free_name(spark.range(1).selectExpr("id as X", "id as x_1"), "x") == "x_2"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, kept in (("64m", f"{8 << 20}b"), ("1g", f"{8 << 20}b"), ("4m", "4m"), ("1000b", "1000b")):
+        spark.conf.set(key, given)
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == kept
+    spark.conf.unset(key)
