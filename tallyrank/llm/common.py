@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 ARROW_BATCH_BYTES = 8 << 20
 
 
+def _show_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; a cluster gets it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    env = spark.sparkContext.environment
+    given = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in [*known, *given]:
+        env["PYTHONPATH"] = os.pathsep.join([root, *given])
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as whole texts differ in length a thousandfold; a smaller limit of the session stays."""
+    """Before Python work: keep Arrow batches small, as whole texts differ in length a thousandfold; a smaller limit of the session stays."""
+    _show_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     text = str(spark.conf.get(key, "64m")).strip().lower()
     number = int(text.rstrip("bkmg") or 0)

@@ -203,6 +203,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
     Ranges are opened with pyarrow's file systems (local, S3, GCS, HDFS).
     Bytes that belong to no record are passed over.  Without ``payload`` that column is null.
     """
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     ranges = files.select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start")
