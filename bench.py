@@ -14,7 +14,7 @@ from tallyrank.operators.topk import linear_query, top_k
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 # Six weighted sums over line items, of the shapes that such engines are usually timed on.
 LINEAR = {

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import field_columns
 from ..plans.bounds import SLACK, Interval, Needs, invert
 from ..plans.expression import Expr
-from .topk import DOC, ID, Query, best_first, score_all
+from .topk import DOC, ID, Query, best_first, scored_rows
 
 
 def measured_stats(df: DataFrame, names: list[str]) -> dict[str, Interval]:
@@ -70,7 +70,7 @@ def threshold(seed: DataFrame, query: Query, doc: str = DOC, ident: str = ID) ->
     """Score that the k-th best row of the answer reaches at least; None where nothing is known."""
     k = query.offset + query.limit
     floor = query.min_score if query.min_score is not None else -math.inf
-    row = score_all(seed, query.score, query.min_score, doc, ident).orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+    row = scored_rows(seed, query.score, query.min_score, doc, ident).orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
     found = row["s"] if k and row["n"] >= k else -math.inf
     best = max(float(found), floor)
     return None if best == -math.inf else best
@@ -91,10 +91,10 @@ def pruned_top_k(df: DataFrame, query: Query, seed: DataFrame | None = None, sta
     document id; without ``stats`` the fields' ranges are measured.
     """
     if query.limit == 0:
-        return best_first(score_all(df, query.score, query.min_score, doc, ident), query)
+        return best_first(scored_rows(df, query.score, query.min_score, doc, ident), query)
     if seed is None:
         seed = df.filter(F.pmod(F.xxhash64(F.col(doc)), F.lit(100)) == 0)
     tau = threshold(seed, query, doc, ident)
     if tau is not None:
         df = prune(df, query.score, tau, stats if stats is not None else measured_stats(df, query.score.fields()))
-    return best_first(score_all(df, query.score, query.min_score, doc, ident), query)
+    return best_first(scored_rows(df, query.score, query.min_score, doc, ident), query)

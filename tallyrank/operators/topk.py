@@ -47,21 +47,26 @@ class Query:
             raise ValueError(f"offset_mode is 'page' or 'compat', not {self.offset_mode!r}")
 
 
-def score_all(df: DataFrame, score: Expr | list | str, min_score: float | None = None, doc: str = DOC, ident: str = ID) -> DataFrame:
-    """(_doc_id, id, score) of every row that answers, in no order: a scan without any shuffle."""
+def scored_rows(df: DataFrame, score: Expr | list | str, min_score: float | None = None, doc: str = DOC, ident: str = ID) -> DataFrame:
+    """As :func:`score_all`, with the id in its own type: most rows are dropped before anyone reads it."""
     score = parse(score) if not isinstance(score, Expr) else score
     names = score.fields()
     columns = field_columns(df, names)
     complete = F.lit(True)
     for n in names:
         complete = complete & columns[n].isNotNull()
-    scored = df.filter(complete).select(F.col(doc).cast("long").alias(DOC), F.col(ident).cast("string").alias(ID), to_column(score, columns).alias("score"))
+    scored = df.filter(complete).select(F.col(doc).cast("long").alias(DOC), F.col(ident).alias(ID), to_column(score, columns).alias("score"))
     scored = scored.filter(~F.isnan("score"))
     if min_score is not None and min_score != -math.inf:
         scored = scored.filter(F.col("score") >= F.lit(min_score).cast("float"))
     return scored
 
 
+def score_all(df: DataFrame, score: Expr | list | str, min_score: float | None = None, doc: str = DOC, ident: str = ID) -> DataFrame:
+    """(_doc_id, id, score) of every row that answers, in no order: a scan without any shuffle."""
+    return scored_rows(df, score, min_score, doc, ident).withColumn(ID, F.col(ID).cast("string"))
+
+
 def best_first(scored: DataFrame, query: Query) -> DataFrame:
     """(rank, id, score) of scored rows. The sort keeps no more than offset + limit rows of a partition."""
     order = [F.desc("score"), F.desc(DOC)]
@@ -73,12 +78,12 @@ def best_first(scored: DataFrame, query: Query) -> DataFrame:
         top = scored.orderBy(*order).limit(query.offset + query.limit if query.limit else 0)
         top = top.withColumns({"rank": F.row_number().over(ranked), "__n": F.count("*").over(W.partitionBy())})
         top = top.filter(F.col("rank") <= F.col("__n") - query.offset)
-    return top.select(F.col("rank").cast("long").alias("rank"), ID, "score")
+    return top.select(F.col("rank").cast("long").alias("rank"), F.col(ID).cast("string").alias(ID), "score")
 
 
 def top_k(df: DataFrame, query: Query, doc: str = DOC, ident: str = ID) -> DataFrame:
     """(rank, id, score) of the best rows of ``df`` (columns ``doc``, ``ident`` and the fields)."""
-    return best_first(score_all(df, query.score, query.min_score, doc, ident), query)
+    return best_first(scored_rows(df, query.score, query.min_score, doc, ident), query)
 
 
 def collect(result: DataFrame) -> dict[str, list]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pruned import prune, threshold
-from ..operators.topk import DOC, ID, Query, best_first, score_all
+from ..operators.topk import DOC, ID, Query, best_first, scored_rows
 from ..plans.bounds import Interval, forward
 from . import ingest
 from .files import Folder
@@ -83,7 +83,7 @@ class Store:
             if tau is not None:
                 alive = [b for b in batches if self._has_all(b, query) and self._can_reach(b, query, tau)]
                 df = prune(self._read(alive), query.score, tau, stats)
-        return best_first(score_all(df, query.score, query.min_score), query)
+        return best_first(scored_rows(df, query.score, query.min_score), query)
 
     @staticmethod
     def _ranges(batch: dict) -> dict[str, Interval]:
@@ -183,4 +183,4 @@ class MemoryStore:
         return self.df if self.df is not None else self.spark.createDataFrame([], f"{DOC} long, {ID} string")
 
     def query(self, query: Query) -> DataFrame:
-        return best_first(score_all(self.read(), query.score, query.min_score), query)
+        return best_first(scored_rows(self.read(), query.score, query.min_score), query)
