@@ -295,6 +295,12 @@ def _settle(blobs: list[tuple[bytes, bytes]], window: int) -> list[np.ndarray]:
     index = expand(word, count.astype(np.int64))
     run = np.repeat(np.arange(len(count)), count)
     place = expand(start.astype(np.int64), count.astype(np.int64))
+    same = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
+    if (same & (start[1:] < start[:-1] + count[:-1])).any():
+        # Copies of one row came from different slices: each of its windows counts once.
+        owner = np.concatenate([[0], np.cumsum(~same)])
+        _, once = np.unique(owner[run] << 32 | place, return_index=True)
+        run, place, index = run[once], place[once], index[once]
     gone = np.flatnonzero(repeats(number, whole, index, window))
     if not len(gone):
         return [np.empty(0, np.int64)] * 4

@@ -206,6 +206,15 @@ def test_substring_dedup_over_slices_and_odd_rows(docs, odd, nothing, monkeypatc
     assert substring_dedup.substring_dedup(nothing).collect() == []
 
 
+def test_substring_dedup_of_one_row_given_in_two_slices(spark):
+    once, twice = [(5, SHARED + "tail"), (2, prose(40) + SHARED), (7, prose(30))], [(1, SHARED), (3, SHARED + SHARED), (4, prose(50))]
+    rows = [(i, t, None, "s", 1) for i, t in once + twice + twice]
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), ODD_SCHEMA)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(apart).collect())
+    expected = brute_substrings(once + twice, 20)
+    assert expected[1][1] == 0 and got == sorted((i, *expected[i]) for i, _ in once + twice + twice)
+
+
 def test_heavy_stretches_only_reroute(docs, monkeypatch):
     keyed = docs.selectExpr("cast(coalesce(text, '') as binary) as text")
     heavy = substring_dedup.heavy_stretches(keyed, 1, 0.02)
