@@ -9,7 +9,7 @@ node's importance joins the entropy of its presentations with its children's
 importance.  Branches of low importance are removed from each page, and so are
 branches whose tag, role or class names a menu, header, footer, sidebar,
 notice, advert, form or comment list.  An article or main element, where there
-is one, bounds the text.
+is one, bounds the text; the tree judges what is inside it too.
 
 The tree is never held as a whole: tasks emit counted (host, node, content)
 keys that are summed with partial aggregation, copies of a page count once, and
@@ -98,7 +98,7 @@ def _hash(s: str) -> int:
 
 
 def style_nodes(root: Element) -> set[tuple[int, int, int]]:
-    """(node, kind, content) of a page outside its article: kind 0 what a node says itself, 1 how it presents its children."""
+    """(node, kind, content) of a page: kind 0 what a node says itself, 1 how it presents its children."""
     out: set[tuple[int, int, int]] = set()
     work = [(root, "")]
     while work:
@@ -112,7 +112,7 @@ def style_nodes(root: Element) -> set[tuple[int, int, int]]:
             out.add((node, 1, _hash(" ".join(k.label for k in kids))))
         elif not own:
             out.add((node, 0, _hash("src " + e.attrs.get("src", "") + e.attrs.get("href", ""))))
-        work += [(k, f"{path}/{k.label}") for k in kids if k.tag not in RAW and not is_article(k)]
+        work += [(k, f"{path}/{k.label}") for k in kids if k.tag not in RAW]
     return out
 
 
@@ -121,15 +121,16 @@ def _says(e: Element) -> bool:
 
 
 def noisy_elements(root: Element, known: dict[int, float]) -> set[int]:
-    """Elements of a page outside its article, by object, that are of low composite importance with all below them.
+    """Elements of a page, by object, that are of low composite importance with all below them.
 
     An element with children joins its own value with the mean of theirs and of
-    its own text's; a node that the site does not call low counts 1.
+    its own text's; a node that the site does not call low counts 1.  Articles
+    stay, and so do elements whose own text is not low, and inline parts of
+    a running text that stays.
     """
     order: list[tuple[Element, str, int]] = [(root, "", -1)]
     for at, (x, path, _) in enumerate(order):  # grows while it is read: parents come before children
-        if not is_article(x):
-            order += [(k, f"{path}/{k.label}", at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
+        order += [(k, f"{path}/{k.label}", at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
     below = [(0.0, 0, True)] * len(order)  # sum and number of the children's importance, whether all are noisy
     noisy: set[int] = set()
     for at in range(len(order) - 1, -1, -1):
@@ -139,8 +140,8 @@ def noisy_elements(root: Element, known: dict[int, float]) -> set[int]:
         if n and _says(x):
             total, n = total + own, n + 1
         value = (1 - GAMMA) * own + GAMMA * total / n if n else own
-        quiet = quiet and value < LOW_IMPORTANCE
-        if quiet:
+        quiet = quiet and value < LOW_IMPORTANCE and (own < LOW_IMPORTANCE or not _says(x))
+        if quiet and (x.tag in BLOCK or parent < 0 or not _says(order[parent][0])):
             noisy.add(id(x))
         if parent >= 0:
             t, k, q = below[parent]
@@ -204,16 +205,14 @@ def main_text(html: str, known: dict[int, float] | None = None) -> str:
     tops = _articles(root)
     mains = [t for t in tops if t.tag == "main" or t.attrs.get("role", "").lower() == "main"]
     tops = mains or tops
-    noisy: set[int] = set()
-    if not tops:
-        tops = [root]
-        if known:
-            noisy = noisy_elements(root, known)
+    tops = tops or [root]
+    noisy = noisy_elements(root, known) if known else set()
     out: list[str] = []
     for t in tops:
         _blocks(t, is_article(t), noisy, out, [])
     if not out and noisy:  # a page that says only what its site always says
-        _blocks(root, False, set(), out, [])
+        for t in tops:
+            _blocks(t, is_article(t), set(), out, [])
     return "\n".join(out)
 
 

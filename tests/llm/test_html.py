@@ -57,6 +57,18 @@ def test_site_style_tree(spark, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_style_tree_inside_articles(spark):
+    """Unnamed boilerplate of a site goes from its articles too; the article's own words stay, also around inline parts that recur."""
+    page = '<body><article><h1>Title {0}</h1><p>Story {0} <b>note</b> begins.</p><p>One {0}<br>two<br>three<br>four<br>five<br>six<br>seven<br>eight<br>nine<br>ten<br>eleven</p><div class="x1"><p>Pass it on</p></div><div class="x2">By the <i>staff</i></div></article></body>'
+    pages = [(k, f"https://in.example/{k}", page.format(k)) for k in range(12)]
+    got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    verse = " ".join("two three four five six seven eight nine ten eleven".split())
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Title {k}\nStory {k} note begins.\nOne {k} {verse}" for k in range(12)}
+    said = [(k, f"https://same.example/{k}", f"<article id='a'><p>Always this</p></article><i>{k}</i>") for k in range(12)]
+    got = html_extract.extract_text(spark.createDataFrame(said, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"Always this"}
+
+
 def test_copies_of_one_page_lose_nothing(spark):
     pages = [(k, "https://copy.example/x", soup(1)) for k in range(30)]
     got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
