@@ -49,6 +49,27 @@ _NOISE_WORDS = re.compile(
 )
 
 
+# Inside an article a name counts only whole: one of these words, in a class also beside words for the shape of a part.
+_NOISE_NAME = (
+    r"(?:ads?|adv|advert(?:s|isements?|ising)?|adsense|sponsor(?:s|ed)?|promo(?:s|tions?)?|banners?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletters?|subscri(?:be|ptions?)|sign-?up"
+    r"|side|sidebars?|rail|menus?|nav|navigation|breadcrumbs?|topbar|footers?|foot|comments?|respond|repl(?:y|ies)|discussion|disqus"
+    r"|social|shar(?:e|es|ing)|related|recommend(?:ed|ations?)|widgets?|login|search|toolbar|pagination|pager|skip|hidden|sr-only)"
+)
+_SHAPE = r"(?:articles?|entry|posts?|story|stories|content|page|site|slot|box|bar|block|list|items?|area|wrap(?:per)?|container|inner|buttons?|btn|links?|icons?|form|section|panel|group|thread|\d)"
+_WHOLE_ID = re.compile(_NOISE_NAME, re.I)
+_WHOLE_CLASS = re.compile(rf"(?:{_SHAPE}[_-]*)*{_NOISE_NAME}(?:[_-]*(?:{_NOISE_NAME}|{_SHAPE}))*", re.I)
+_LONGEST_NAME = 64
+#: Elements whose ids are made from headings.
+_HEADED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+
+
+def _named_noise(e: Element) -> bool:
+    """Whether a whole class or id names a part inside an article that is not its text."""
+    if any(len(c) <= _LONGEST_NAME and _WHOLE_CLASS.fullmatch(c) for c in _ARTICLE_HEAD.sub(" ", e.attrs.get("class", "")).split()):
+        return True
+    return e.tag not in _HEADED and _WHOLE_ID.fullmatch(e.attrs.get("id", "").strip()) is not None
+
+
 #: Heads of the article itself, where they are named as such.
 _ARTICLE_HEAD = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[\s_-]?(?:header|head)(?=$|[\s_-])", re.I)
 
@@ -66,7 +87,7 @@ def _wraps_article(form: Element) -> bool:
 
 
 def is_noise(e: Element, inside: bool) -> bool:
-    """Whether names alone say that an element is no part of the article; ``inside`` an article, header is its head."""
+    """Whether names alone say that an element is no part of the article; ``inside`` one, header is its head and only whole names count."""
     if e.tag == "form" and _wraps_article(e):
         return False
     if e.tag in _NOISE_TAGS or (e.tag == "header" and not inside and not _ARTICLE_HEAD.search(e.attrs.get("class", ""))):
@@ -78,11 +99,11 @@ def is_noise(e: Element, inside: bool) -> bool:
     style = e.attrs.get("style")
     if style and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style, re.I):
         return True
+    if inside:
+        return _named_noise(e)
     names = f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}"
     if names.strip():
-        found = _NOISE_WORDS.search(_ARTICLE_HEAD.sub(" ", names))
-        if found and not (inside and re.search(r"header|masthead", found[0], re.I)):
-            return True
+        return _NOISE_WORDS.search(_ARTICLE_HEAD.sub(" ", names)) is not None
     return False
 
 

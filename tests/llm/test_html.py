@@ -69,6 +69,12 @@ def test_style_tree_inside_articles(spark):
     assert {r["text"] for r in got} == {"Always this"}
 
 
+def test_names_inside_articles_count_whole():
+    own = '<section id="related-work"><p>a</p></section><h2 id="search-algorithms">b</h2><section id="discussion"><p>c</p></section><h2 id="navigation-systems">d</h2><div class="share-price">e</div><p class="side-effects">f</p><div id="skip-list">g</div><p class="shareholders">h</p>'
+    noise = '<div class="post-share">x</div><div class="related_posts">x</div><div id="comments">x</div><p class="lead hidden">x</p><div class="sidebar">x</div><div class="social-share-buttons">x</div>'
+    assert main_text(f"<article>{own}{noise}</article>") == "\n".join("abcdefgh")
+
+
 def test_copies_of_one_page_lose_nothing(spark):
     pages = [(k, "https://copy.example/x", soup(1)) for k in range(30)]
     got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
