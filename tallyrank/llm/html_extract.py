@@ -13,8 +13,8 @@ is one, bounds the text; the tree judges what is inside it too.
 
 The tree is never held as a whole: tasks emit counted (host, node, content)
 keys that are summed with partial aggregation, copies of a page count once, and
-only nodes of low importance, seen on a fixed share of the host's pages, come
-back; a host has at most (nodes of a page / that share) of them.
+only nodes of low importance come back.  A node is judged by the pages that hold
+it, whatever else its host has, if these are MIN_PAGES or more.
 """
 
 from __future__ import annotations
@@ -23,17 +23,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
 from .common import BROADCAST_BYTES, bound_batches, cut
 from .dom import BLOCK, RAW, Element, parse
 
-#: Hosts of fewer different pages are judged by names alone.
+#: A style node on fewer different pages of its host is judged by names alone.
 MIN_PAGES = 8
-#: Share of a host's pages that a style node must be on to be judged.
-MIN_SHARE = 0.1
 LOW_IMPORTANCE = 0.3
 GAMMA = 0.9
 SLICE_BYTES = 8 << 20
@@ -119,7 +117,7 @@ def _hash(s: str) -> int:
 
 
 def style_nodes(root: Element) -> set[tuple[int, int, int]]:
-    """(node, kind, content) of a page: kind 0 what a node says itself, 1 how it presents its children."""
+    """(node, kind, content) of a page: kind 0 what a node says itself, 1 how it presents its children, 2 that the page holds it."""
     out: set[tuple[int, int, int]] = set()
     work = [(root, "")]
     while work:
@@ -127,6 +125,7 @@ def style_nodes(root: Element) -> set[tuple[int, int, int]]:
         own = " ".join(" ".join(c for c in e.children if isinstance(c, str)).split())
         kids = [c for c in e.children if not isinstance(c, str)]
         node = _hash(path)
+        out.add((node, 2, 0))
         if own:
             out.add((node, 0, _hash(own)))
         if kids:
@@ -266,8 +265,8 @@ def low_nodes(keyed: DataFrame) -> DataFrame:
     per_node = per_content.groupBy("host", "node", "kind").agg(
         F.avg(F.log("c")).alias("mean_log"), F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("c_log_c")
     )
-    sizes = named.select("host", F.xxhash64("html").alias("page")).distinct().groupBy(F.col("host").alias("__host")).agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_PAGES)
-    joined = per_node.join(sizes, F.col("host") == F.col("__host")).filter(F.col("total") >= F.col("m") * MIN_SHARE)
+    pages = F.max(F.when(F.col("kind") == 2, F.col("total"))).over(Window.partitionBy("host", "node"))
+    joined = per_node.withColumn("m", pages).filter((F.col("kind") < 2) & (F.col("m") >= MIN_PAGES))
     # kind 0: contents that recur count little; kind 1: entropy of the presentations.
     value = F.when(F.col("kind") == 0, 1 - F.col("mean_log") / F.log("m")).otherwise((F.log("total") - F.col("c_log_c") / F.col("total")) / F.log("m"))
     low = joined.select("host", "node", value.alias("v")).groupBy("host", "node").agg(F.max("v").alias("v")).filter(F.col("v") < LOW_IMPORTANCE)

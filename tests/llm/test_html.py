@@ -75,6 +75,16 @@ def test_names_inside_articles_count_whole():
     assert main_text(f"<article>{own}{noise}</article>") == "\n".join("abcdefgh")
 
 
+def test_rare_templates_of_a_large_host(spark):
+    """A section's template on a twentieth of the host's pages is judged as on a host of its own."""
+    pages = [(k, f"https://big.example/{k}", soup(k)) for k in range(10)]
+    alone = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    pages += [(k, f"https://big.example/{k}", f"<body><section><p>Other {k}</p></section></body>") for k in range(10, 210)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {r["page_id"]: r["text"] for r in alone} == {k: f"Story {k} begins.\nIt ends {k * 7}." for k in range(10)}
+    assert got == {k: f"Story {k} begins.\nIt ends {k * 7}." if k < 10 else f"Other {k}" for k in range(210)}
+
+
 def test_copies_of_one_page_lose_nothing(spark):
     pages = [(k, "https://copy.example/x", soup(1)) for k in range(30)]
     got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
