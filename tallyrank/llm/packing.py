@@ -7,7 +7,8 @@ placed and a bitset subset-sum dynamic programme over the pooled lengths (each
 with its count) finds the multiset that comes closest to the capacity; the
 counts are read back from the recorded bitsets, and a pattern is repeated as
 often as the counts allow.  Only what cannot fill a window exactly at the end
-of a partition is cut, the last tokens into powers of two, which need no padding.
+of a partition, or while the pool is at its bound, is cut, the last tokens into
+powers of two, which need no padding.
 
 Memory: one slice of texts, ``POOL_TOKENS`` tokens and one pass's output.
 """
@@ -271,7 +272,7 @@ class Packer:
             used[top] = used.get(top, 0) + 1
             fill = sum(n * c for n, c in used.items())
             if fill < self.window:
-                if not last:
+                if not last and self.tokens < POOL_TOKENS:
                     return  # later documents may fill it
                 pieces = [self._take(n) for n, c in used.items() for _ in range(c)]
                 room = self.window - fill

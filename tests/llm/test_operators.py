@@ -357,6 +357,18 @@ def test_packing_of_odd_rows(odd):
     assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
 
 
+def test_the_pool_stays_bounded_where_lengths_do_not_fit(monkeypatch):
+    monkeypatch.setattr(packing, "POOL_TOKENS", 64)
+    out = defaultdict(list)
+    packer = packing.Packer(8, lambda doc_id, start, ids, total, sequence, offset: out[sequence].append((doc_id, start, ids)))
+    for i in range(200):
+        packer.add(i, np.arange(5) + 5 * i)
+        assert packer.tokens < 64
+    packer.finish()
+    pieces = sorted((i, start, ids.tolist()) for own in out.values() for i, start, ids in own)
+    assert [x for _, _, ids in pieces for x in ids] == list(range(1000)) and {sum(len(p[2]) for p in own) for own in out.values()} == {8}
+
+
 def test_closest_fill_is_the_best_subset():
     rng = random.Random(3)
     for _ in range(200):
