@@ -19,9 +19,11 @@ import json
 import os
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +106,19 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def added_tokens(path: str) -> list[dict]:
+    """The added tokens of a tokenizer file, which the tokenizers library cuts out of a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f).get("added_tokens") or []
+
+
+def _plainly_cut(tokens: list[dict]) -> bool:
+    """Whether added tokens are cut by their characters alone, and none begins with another."""
+    names = [t["content"] for t in tokens]
+    rules = any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip"))
+    return not rules and not any(a != b and b.startswith(a) for a in names for b in names)
+
+
 def byte_ranks(path: str) -> dict[bytes, int] | None:
     """Ids by token bytes of a tokenizer file; None unless it is plain byte-level BPE whose ids follow the merges."""
     with open(path, encoding="utf-8") as f:
@@ -125,22 +140,26 @@ class Encoder:
 
     Merging is done by tiktoken from the tokenizer file's own vocabulary, which
     gives the ids of the tokenizers library several times faster; a file of
-    another kind is run by the tokenizers library itself.
+    another kind is run by the tokenizers library itself.  With ``added`` the
+    file's added tokens get their own ids where a text holds them, as the
+    library gives them unless told otherwise; without, they are ordinary text.
     """
 
-    def __init__(self, path: str):
-        ranks = byte_ranks(path)
+    def __init__(self, path: str, added: bool = False):
+        known = added_tokens(path) if added else []
+        ranks = byte_ranks(path) if _plainly_cut(known) else None
         if ranks is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(path)
-            self.whole.encode_special_tokens = True
+            self.whole.encode_special_tokens = not added
             return
         import tiktoken
 
         self.whole = None
-        self.merges = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in known}
+        self.merges = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
 
@@ -180,6 +199,23 @@ class Encoder:
         if self.whole is not None:
             ids, counts = self._of_texts(column.fill_null("").to_pylist())
             return ids, np.concatenate([[0], np.cumsum(counts)])
+        held = reduce(pc.or_, [pc.match_substring(column.fill_null(""), name) for name in self.added]) if self.added else None
+        if held is not None and pc.any(held).as_py():
+            return self._with_added(column.fill_null(""), held)
+        return self._ordinary(data, offsets)
+
+    def _with_added(self, texts: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some texts, those of ``held``, hold added tokens."""
+        own = [np.array(self.merges.encode(t, allowed_special="all"), np.uint32) for t in texts.filter(held).to_pylist()]
+        other, upto = self._ordinary(*flat(texts.filter(pc.invert(held))))
+        others = iter(np.split(other, upto[1:-1]))
+        mine = iter(own)
+        parts = [next(mine if h else others) for h in held.to_pylist()]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _ordinary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         cuts = cut_points(data, offsets)
         chunks = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
@@ -302,11 +338,12 @@ class Packer:
             self._put(own)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     ``ids`` are little-endian unsigned 32-bit token ids; each document ends with
-    id 1.  A null or empty text is that one id.  Repeated rows are packed as
+    id 1.  With ``added``, which the registered queries set, the tokenizer's
+    added tokens get their own ids where a text holds them.  A null or empty text is that one id.  Repeated rows are packed as
     often as they come.  A sequence belongs to one partition: its number is the
     partition's in the upper bits and a counter below.
     """
@@ -317,7 +354,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        encoder = Encoder(path or default_tokenizer())
+        encoder = Encoder(path or default_tokenizer(), added)
         out: list[list] = [[] for _ in range(7)]
 
         def emit(doc_id, start, ids, total, sequence, offset):

@@ -357,6 +357,23 @@ def test_packing_of_odd_rows(odd):
     assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
 
 
+def test_registered_ids_are_those_of_the_unmodified_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tallyrank.llm.queries import op6_packing
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "plain  text"), (4, None), (5, ""), (6, "<|endoftext|>"), (7, "<|endoftext| >"), *((10 + i, t) for i, t in enumerate(TEXTS))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for p in packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), added=True).collect():
+        got[p["doc_id"]].append((p["start"], p["ids"]))
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in rows}
+    assert {i: b"".join(x for _, x in sorted(own)) for i, own in got.items()} == ids
+    of = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in op6_packing(spark, str(tmp_path)).collect()}
+    assert 50256 in np.frombuffer(ids[1], "<u4") and of[6, 0] == zlib.crc32(ids[6])
+
+
 def test_the_pool_stays_bounded_where_lengths_do_not_fit(monkeypatch):
     monkeypatch.setattr(packing, "POOL_TOKENS", 64)
     out = defaultdict(list)
