@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
-from .license_texts import EQUIVALENT, KNOWN
+from .license_texts import EQUIVALENT, KNOWN, MORE_NOTICES, TEXT_DIGESTS
 
 MAX_BROADCAST_ROWS = 100_000
 TYPOGRAPHIC = "“”‘’„«»–—−·•…©®™ "
@@ -43,7 +43,13 @@ def known_digests(licenses: DataFrame) -> DataFrame:
 
 
 def builtin_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, kind string, text string")
+    return spark.createDataFrame(KNOWN + MORE_NOTICES, "license_id string, kind string, text string")
+
+
+def builtin_digests(spark: SparkSession) -> DataFrame:
+    """Digests of the built-in licences, of the long ones as well."""
+    long_ = spark.createDataFrame([(g, "text", i) for i, g in TEXT_DIGESTS], "digest string, kind string, license_id string")
+    return known_digests(builtin_licenses(spark)).unionByName(long_, allowMissingColumns=True)
 
 
 def license_report(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +63,8 @@ def license_report(docs: DataFrame, licenses: DataFrame | None = None, id_col: s
     Rows equal in id and text get one verdict, each its own row.
     """
     spark = docs.sparkSession
-    known = cut(known_digests(licenses if licenses is not None else builtin_licenses(spark)).groupBy("digest", "kind").agg(F.min("license_id").alias("license_id"), F.first("size").alias("size")))
+    given = known_digests(licenses) if licenses is not None else builtin_digests(spark)
+    known = cut(given.groupBy("digest", "kind").agg(F.min("license_id").alias("license_id"), F.first("size").alias("size")))
     small = known.count() <= MAX_BROADCAST_ROWS
     longest = known.filter("kind = 'notice'").agg(F.max("size").alias("m")).first()["m"] or 0
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), canonical_lines(F.col(text_col)).alias("lines"))

@@ -69,3 +69,60 @@ EQUIVALENT = [
     ("copyright owner", "copyright holder"),
     ("per cent", "percent"),
 ]
+
+# Identifiers of common licences; each is known by its SPDX line.
+_SPDX = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0
+CC-BY-2.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0
+CDDL-1.0 CDDL-1.1 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later
+GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0 OFL-1.1
+OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+
+# Names by which one line calls a licence.
+_NAMES = {
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
+    "GPL-2.0-only": ["GNU General Public License, version 2"],
+    "GPL-3.0-only": ["GNU General Public License, version 3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "Zlib": ["zlib License"],
+    **{i: [i.replace("CC-BY", "CC BY").replace("CC0-", "CC0 ").replace("-2.0", " 2.0").replace("-3.0", " 3.0").replace("-4.0", " 4.0")] for i in _SPDX if i.startswith("CC")},
+}
+
+#: More notices, beside KNOWN: (licence, "notice", words)
+MORE_NOTICES = [(i, "notice", f"SPDX-License-Identifier: {i}") for i in _SPDX] + [
+    (i, "notice", f"{start} {the}{name}.")
+    for i, names in _NAMES.items()
+    for name in names
+    for start in ("Licensed under", "Released under", "This work is licensed under")
+    for the in ("", "the ")
+]
+
+#: (licence, digest of the canonical text) of texts too long to be held here, some also without their appendix.
+TEXT_DIGESTS = [
+    ("Apache-2.0", "0cce2f27f1d1f2c70e41a1cf902b3000ca93ae41522d154cdec8c6410fc9b908"),
+    ("Apache-2.0", "4c57b8edf92039f718de404e0c6ec9ec0ecf3279b7d2e94d892d19654791f78f"),
+    ("Apache-2.0", "9457a17cff7775e727df7050309129b295820d418faa44fa8c1a5dedd4ed1c26"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3-only", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0-only", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0-only", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0-only", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-3.0-only", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("GPL-3.0-only", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee"),
+    ("GPL-3.0-only", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("LGPL-2.0-only", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
+    ("LGPL-2.1-only", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]

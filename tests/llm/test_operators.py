@@ -535,6 +535,18 @@ def test_license_scan(spark, odd, nothing):
     assert len(license_scan.license_report(odd).collect()) == 8 and license_scan.license_report(nothing).collect() == []
 
 
+def test_license_scan_knows_common_identifiers_and_long_texts(spark, monkeypatch):
+    lines = {1: ("# SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0-only"), 2: ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), 3: ("Released under the Mozilla Public License, version 2.0.", "MPL-2.0"), 4: ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later")}
+    got = by_id(license_scan.license_report(spark.createDataFrame([(i, f"Some words.\n{t}\nmore") for i, (t, _) in lines.items()], "doc_id long, text string")))
+    assert {i: (r["licenses"], r["n_notices"]) for i, r in got.items()} == {i: (name, 1) for i, (_, name) in lines.items()}
+    text = "A long licence,\n  of two lines."
+    digest = by_id(license_scan.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")))[1]["text_digest"]
+    monkeypatch.setattr(license_scan, "TEXT_DIGESTS", [*license_scan.TEXT_DIGESTS, ("Long-1.0", digest)])
+    row = license_scan.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["whole_license"], row["licenses"]) == ("Long-1.0", "Long-1.0")
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"} <= {i for i, _ in license_scan.TEXT_DIGESTS}
+
+
 def test_checkpoints_follow_the_session(spark):
     common.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
