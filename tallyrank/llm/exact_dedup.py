@@ -1,16 +1,17 @@
 """Exact deduplication by two-pass Bloom filtering (DataFrame functions only).
 
-Pass 1 reads the texts, keeps their SHA-256 and sets a bit per digest in a
-one-hash Bloom filter; a second filter keeps the bits that were set more than
-once.  The exchange carries filter slots (pre-aggregated integers), never rows
-or texts.  Pass 2 tests each row against the second filter: a row whose bit is
-clear is certainly unique and passes straight through; only the others shuffle
-to be grouped by their whole digest, so false positives cost a little shuffle
-and never a wrong result.
-
-The filter grows with the row count (``BITS_PER_ROW``), so it is broadcast only
-while it is at most ``BROADCAST_BYTES``; above that the same slots are matched
-with a shuffle join that still carries digests instead of texts.
+Texts are read and hashed once, to a written table of narrow keys (id, text
+hash, SHA-256 of the normalised text, length).  Pass 1 sets ``HASHES`` bits per
+digest in a blocked Bloom filter and keeps the bits that were set more than
+once; bits are summed with partial aggregation.  Pass 2 tests each key against
+those: a key with a bit that was set once is certainly unique and passes
+straight through; only the others shuffle, to be grouped by their whole digest,
+so false positives cost a little shuffle and never a wrong result.  The texts
+themselves are joined with what goes, where they lie (:func:`join_in_place`).
+
+The filter grows with the rows (``BITS_PER_ROW``).  All bits of a digest lie in
+one block of 4 KB, so a filter over ``BROADCAST_BYTES`` is matched by a join of
+keys and blocks, without any other change; texts never take part in that.
 """
 
 from __future__ import annotations
@@ -18,120 +19,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, delete_space
+from .common import BROADCAST_BYTES, cut, delete_space, without_rows
 
 BITS_PER_ROW = 16
-#: Bits of one bitmap made by ``bitmap_construct_agg`` (4096 bytes).
-BITMAP_BITS = 32768
+HASHES = 3
+#: Bits of one block, a bitmap made by ``bitmap_construct_agg`` (4096 bytes).
+BLOCK_BITS = 32768
 
-SHA, LEN, SLOT = "__sha", "__len", "__slot"
+SHA, LEN, HASH = "__sha", "__len", "__hash"
 
 
-def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the digest of the text without ASCII white space and the original's code points; null is empty."""
+def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written keys (id, __hash, __sha, __len) of all rows: hash of the text, digest of it without ASCII white space, code points; null is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({SHA: F.sha2(delete_space(text).cast("binary"), 256), LEN: F.char_length(text).cast("long")})
+    digest = F.sha2(delete_space(text).cast("binary"), 256)
+    return cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias(HASH), digest.alias(SHA), F.char_length(text).cast("long").alias(LEN)))
 
 
-def filter_bits(rows: int) -> int:
-    """Bits of the filter for so many rows: a power of two, one whole bitmap at least."""
-    return max(BITMAP_BITS, 1 << (max(rows, 1) * BITS_PER_ROW - 1).bit_length())
+def filter_blocks(rows: int) -> int:
+    """Blocks of the filter for so many rows: a power of two."""
+    return 1 << max(0, (max(rows, 1) * BITS_PER_ROW - 1).bit_length() - 15)
 
 
-def _slot(bits: int) -> Column:
-    return F.xxhash64(F.col(SHA)).bitwiseAND(F.lit(bits - 1))
+def _block(blocks: int) -> Column:
+    return F.xxhash64(F.col(SHA)).bitwiseAND(F.lit(blocks - 1))
 
 
-def repeated_slots(keyed: DataFrame, bits: int) -> DataFrame:
-    """Slots hit by two rows or more, as (bucket, 4 KB bitmap)."""
-    hit_twice = keyed.select(_slot(bits).alias(SLOT)).groupBy(SLOT).count().filter("count > 1")
-    return hit_twice.groupBy(F.expr(f"shiftright({SLOT}, 15)").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col(SLOT).bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap")
+def _places() -> list[Column]:
+    """The digest's bits in its block."""
+    other = F.xxhash64(F.col(SHA), F.lit(1))
+    return [F.shiftrightunsigned(other, 15 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)) for k in range(HASHES)]
+
+
+def repeated_bits(keys: DataFrame, blocks: int) -> DataFrame:
+    """Bits set by two rows or more, as (block, 4 KB bitmap)."""
+    slots = F.array(*[F.shiftleft(_block(blocks), 15).bitwiseOR(p) for p in _places()])
+    twice = keys.select(F.explode(slots).alias("slot")).groupBy("slot").count().filter("count > 1")
+    return twice.groupBy(F.shiftright("slot", 15).alias("block")).agg(
+        F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("bitmap")
     )
 
 
-def _bit_is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte.cast("long"), position.bitwiseAND(F.lit(7)).cast("int")) == 1
-
-
-def split_by_filter(keyed: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have an equal, rows that have none)."""
-    bits = filter_bits(rows)
-    filters = cut(repeated_slots(keyed, bits))
-    slot = _slot(bits)
-    probe = keyed.withColumn(SLOT, slot)
-    if bits // 8 <= BROADCAST_BYTES:
-        seen = F.broadcast(filters)
-        on = (F.shiftright(probe[SLOT], 15) == seen["bucket"]) & _bit_is_set(
-            seen["bitmap"], probe[SLOT].bitwiseAND(F.lit(BITMAP_BITS - 1))
-        )
-        return (
-            probe.join(seen, on, "left_semi").drop(SLOT),
-            probe.join(seen, on, "left_anti").drop(SLOT),
-        )
-    # Too large to send everywhere: match digests slot by slot in a shuffle.
-    twice = keyed.select(slot.alias(SLOT)).groupBy(SLOT).count().filter("count > 1").select(SLOT)
-    twice = cut(twice)
-    return probe.join(twice, SLOT, "left_semi").drop(SLOT), probe.join(twice, SLOT, "left_anti").drop(SLOT)
-
-
-def annotate_duplicates(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``keyed`` (from :func:`with_digest`) with the verdict on it.
-
-    Adds keep_id, group_size, kept, text_sha256 and n_equal_best.  Of the rows
-    with one digest the longest original stays, then the smallest id; a null id
-    comes after all others.  Rows equal in digest, length and id are one
-    document given several times: all carry ``kept`` and ``n_equal_best`` tells
-    how many there are; :func:`exact_dedup` leaves one.  An empty table gives an
-    empty result.
+def _bit_is_set(bitmap: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), place.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+
+def split_by_filter(keys: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(keys that may have an equal, keys that have none)."""
+    blocks = filter_blocks(rows)
+    bits = cut(repeated_bits(keys, blocks))
+    if blocks * (BLOCK_BITS // 8) <= BROADCAST_BYTES:
+        bits = F.broadcast(bits)
+    on = _block(blocks) == bits["block"]
+    for place in _places():
+        on = on & _bit_is_set(bits["bitmap"], place)
+    return keys.join(bits, on, "left_semi"), keys.join(bits, on, "left_anti")
+
+
+def best_of_groups(maybe: DataFrame) -> DataFrame:
+    """(__g, best, group_size) of each digest: the longest original, then the smallest id (null after all), then the smallest text hash.
+
+    Copies are summed before they travel.  The result is written, which lets
+    the adaptive planner split a hot digest on the other side of a join.
     """
-    rows = keyed.count()
-    maybe, alone = split_by_filter(keyed, rows)
-    best = (
-        maybe.groupBy(SHA, LEN, F.col(id_col).alias("__id")).agg(F.count("*").alias("n"))
-        .groupBy(SHA)
-        .agg(
-            F.min(F.struct((-F.col(LEN)).alias("neg"), F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "n")).alias("best"),
-            F.sum("n").alias("group_size"),
-        )
-        .select(F.col(SHA).alias("__g"), "best", "group_size")
-    )
-    # A written table on this side lets the adaptive planner split a hot digest on the other.
-    best = cut(best)
-    grouped = maybe.join(best, maybe[SHA] == best["__g"]).drop("__g")
-    grouped = grouped.withColumns(
-        {
-            "keep_id": F.col("best.id"),
-            "kept": (F.col(LEN) == -F.col("best.neg")) & F.col(id_col).eqNullSafe(F.col("best.id")),
-            "n_equal_best": F.col("best.n"),
-        }
-    ).drop("best")
-    alone = alone.withColumns(
-        {
-            "keep_id": F.col(id_col),
-            "group_size": F.lit(1).cast("long"),
-            "kept": F.lit(True),
-            "n_equal_best": F.lit(1).cast("long"),
-        }
-    )
-    return alone.unionByName(grouped).withColumn("text_sha256", F.col(SHA))
+    counted = maybe.groupBy(SHA, LEN, "id", HASH).agg(F.count("*").alias("n"))
+    first = F.min(F.struct((-F.col(LEN)).alias("neg"), F.col("id").isNull().alias("no_id"), "id", F.col(HASH).alias("hash"), "n"))
+    return cut(counted.groupBy(F.col(SHA).alias("__g")).agg(first.alias("best"), F.sum("n").alias("group_size")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: one for each distinct text.
 
-    Rows that the filter shows to be unique are never shuffled.
+    Texts are equal when they are so without ASCII white space; null is empty.
+    The longest original stays, then the smallest id, a null id after all
+    others; of rows equal in id and text one stays.  An empty table gives an
+    empty one.  No text is shuffled but those of rows given several times.
     """
-    # Rows travel as one struct, so no name of theirs can clash.
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = annotate_duplicates(with_digest(packed).drop("text"), "id").filter("kept")
-    once = marked.filter("n_equal_best = 1")
-    again = marked.filter("n_equal_best > 1").dropDuplicates([SHA])
-    return once.unionByName(again).select("row.*")
+    keys = keys_of(docs, id_col, text_col)
+    maybe, _ = split_by_filter(keys, keys.count())
+    best = best_of_groups(maybe).filter("group_size > 1")
+    each = maybe.groupBy(SHA, "id", HASH).agg(F.count("*").alias("n"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col(HASH) == F.col("best.hash"))
+    verdict = each.join(best, each[SHA] == best["__g"]).select(F.col("id").alias("__id"), F.col(HASH).alias("__h"), stays.alias("__stays"), "n")
+    return without_rows(docs, cut(verdict.filter("not __stays or n > 1").drop("n")), id_col, text_col)
 
 
 def exact_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``, dropped ones too, read once: id, keep_id, group_size, kept, text_sha256."""
-    keyed = cut(with_digest(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"))
-    return annotate_duplicates(keyed).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """One row per row of ``docs``, dropped ones too, read once: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null texts count as empty ones and are equal to these; a null id stays only
+    where its group has no other.  Rows equal in length, id and normalised text
+    are one document given several times: all carry ``kept``.  An empty table
+    gives an empty report.
+    """
+    keys = keys_of(docs, id_col, text_col)
+    maybe, alone = split_by_filter(keys, keys.count())
+    best = best_of_groups(maybe)
+    kept = (F.col(LEN) == -F.col("best.neg")) & F.col("id").eqNullSafe(F.col("best.id"))
+    out = ("keep_id", "group_size", "kept")
+    grouped = maybe.join(best, maybe[SHA] == best["__g"]).select("id", F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), SHA)
+    single = alone.select("id", *[v.alias(n) for n, v in zip(out, (F.col("id"), F.lit(1).cast("long"), F.lit(True)))], SHA)
+    return single.unionByName(grouped).select(F.col("id").alias("doc_id"), *out, F.col(SHA).alias("text_sha256"))

@@ -71,10 +71,38 @@ def test_exact_dedup(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(m)[1] for m in groups.values())
 
 
-def test_exact_dedup_beyond_the_broadcast_bound(docs, monkeypatch):
+def test_exact_dedup_beyond_the_broadcast_bound(spark, docs, tmp_path, monkeypatch):
     want = sorted(map(tuple, exact_dedup.exact_dedup_report(docs).collect()))
+    kept = sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect())
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
     monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, exact_dedup.exact_dedup_report(docs).collect())) == want
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(tuple, exact_dedup.exact_dedup_report(docs).collect())) == want
+        assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()) == kept  # rows of no file
+        plans, made = [], type(docs).join
+
+        def seen(self, other, *args, **options):
+            out = made(self, other, *args, **options)
+            plans.append((self.columns, out._jdf.queryExecution().executedPlan().toString()))
+            return out
+
+        monkeypatch.setattr(type(docs), "join", seen)
+        assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()) == kept
+        with_rows = [plan for columns, plan in plans if "row" in columns]
+        assert len(with_rows) > 1  # a join for each group of files
+        for plan in with_rows:
+            left = plan[: plan.index("BroadcastExchange")]
+            assert "Exchange hashpartitioning" not in left and "Sort" not in left
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_single_set_bit_lets_a_row_pass(spark):
+    keys = exact_dedup.keys_of(spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    maybe, alone = exact_dedup.split_by_filter(keys, 20_000)
+    assert maybe.count() < 400 and maybe.count() + alone.count() == 20_000
 
 
 def test_exact_dedup_odd_rows(odd, nothing):
