@@ -13,6 +13,12 @@ difference of ``MAX_BITS`` in it, and verified by XOR.  A cell emits a spanning
 forest of its links, never its pairs.  In a crowded cell the points that a
 linear sweep already joined to the largest component are not compared with each
 other again; only the others are compared with all, in blocks of bounded size.
+
+A cell of more than ``CROWD`` points is dealt out further.  Points that agree in
+three bands' counts differ inside these bands by at most one swap of two
+neighbouring bits, so they agree bit for bit in two of the three bands: a
+crowded cell becomes three sets of finer cells that fix the bits of two bands
+and the counts of the third.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
-from .common import BROADCAST_BYTES, bound_batches, cut
+from .common import BROADCAST_BYTES, bound_batches, cut, without_rows
 from .components import connected_components
 
 SEED = 42
@@ -36,6 +42,8 @@ MAX_BITS = 3
 BAND_SEGMENTS = (6, 6, 5, 5, 5, 5)
 SWEEP = 16
 BLOCK = 1024
+#: Points of a cell above which it is dealt out by two bands' bits.
+CROWD = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -105,6 +113,28 @@ def grid_cells(points: DataFrame, fp_col: str = "fp") -> DataFrame:
     return e.select("fp", F.explode(cells).alias("c")).select("c.grid", "c.cell", "fp")
 
 
+def dealt_cells(points: DataFrame, fp_col: str = "fp") -> DataFrame:
+    """(grid, cell, fp) with the crowded cells replaced by finer ones."""
+    cells = grid_cells(points, fp_col)
+    crowded = cut(cells.groupBy("grid", "cell").count().filter(F.col("count") > CROWD).select(F.col("grid").alias("__g"), F.col("cell").alias("__c"), F.lit(True).alias("full")))
+    n = crowded.count()
+    if not n:
+        return cells
+    if n * 64 <= BROADCAST_BYTES:
+        crowded = F.broadcast(crowded)
+    bands, e = _band_masks(), embedding(F.col("fp"))
+    trios = list(combinations(bands, 3))
+    finer = []
+    for k in range(3):
+        counts = F.element_at(F.array(*[F.lit(_signed(t[k])) for t in trios]), F.col("grid").cast("int") + 1)
+        bits = F.element_at(F.array(*[F.lit(_signed(sum(t) - t[k])) for t in trios]), F.col("grid").cast("int") + 1)
+        grid = (len(trios) + 3 * F.col("grid").cast("int") + k).cast("byte")
+        finer.append(F.struct(grid.alias("grid"), F.col("fp").bitwiseAND(bits).bitwiseOR(e.bitwiseAND(counts)).alias("cell")))
+    joined = cells.join(crowded, (cells["grid"] == crowded["__g"]) & (cells["cell"] == crowded["__c"]), "left")
+    own = F.when(F.col("full"), F.array(*finer)).otherwise(F.array(F.struct("grid", "cell")))
+    return joined.select("fp", F.explode(own).alias("c")).select("c.grid", "c.cell", "fp")
+
+
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Least index of each point's component under the links a-b (and the labels so far)."""
     label = np.arange(n) if label is None else label
@@ -169,26 +199,31 @@ def links_of_run(grid: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> tuple[np
 def fingerprint_links(points: DataFrame) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints within ``MAX_BITS``; a forest of each cell's links."""
 
+    def links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        grid, cell, fp = (np.concatenate(x) for x in zip(*parts))
+        a, b = links_of_run(grid, cell, fp.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of the last cell so far, put together when it ends
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             # The last cell may go on in the next batch.
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            to = int(np.argmax(same))
-            held = [x[to:] for x in now]
+            to = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
             if to:
-                a, b = links_of_run(now[0][:to], now[1][:to], now[2][:to].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if held is not None:
-            a, b = links_of_run(held[0], held[1], held[2].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    cells = grid_cells(points).repartition("grid", "cell").sortWithinPartitions("grid", "cell")
+                yield links([*held, [x[:to] for x in now]])
+                held = [[x[to:] for x in now]]
+            elif held and (held[0][0][0] != now[0][0] or held[0][1][0] != now[1][0]):
+                yield links(held)
+                held = [now]
+            else:
+                held.append(now)
+        if held:
+            yield links(held)
+
+    cells = dealt_cells(points).repartition("grid", "cell").sortWithinPartitions("grid", "cell")
     return cells.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -208,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest doc_id reachable over links; a null id counts
     only where a component has no other.  root, the component's least
     fingerprint, tells components apart even where ids repeat.  Texts without words share the
-    fingerprint zero and are linked like any other.
+    fingerprint zero and are linked like any other.  An empty table gives an
+    empty result.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
     ids = cut(_components_of(rows)).withColumnRenamed("fp", "__fp")
@@ -220,8 +256,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, one of each component, with their own columns.
 
     The row of the smallest id stays (then the smallest text hash); of equal
-    rows one.  What goes is found by key, so texts are shuffled only where the
-    table of dropped rows is too large to broadcast.
+    rows one.  Null and empty texts are one component.  What goes is found by
+    key and joined with the texts where they lie.  An empty table gives an
+    empty one.
     """
     marked = near_duplicates(docs, id_col, text_col)
     keyed = cut(marked.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
@@ -230,11 +267,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdict = keyed.join(best, keyed["root"] == best["__root"])
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     odd = cut(verdict.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), stays.alias("__stays")))
-    if odd.count() * 32 <= BROADCAST_BYTES:
-        odd = F.broadcast(odd)
-    # Rows travel as one struct, so no name of theirs can clash.
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    on = (packed["h"] == odd["__h"]) & packed["id"].eqNullSafe(odd["__id"])
-    once = packed.join(odd, on, "left_anti")
-    several = packed.join(odd.filter("__stays"), on, "left_semi").dropDuplicates(["id", "h"])
-    return once.unionByName(several).select("row.*")
+    return without_rows(docs, odd, id_col, text_col)

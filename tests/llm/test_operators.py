@@ -192,10 +192,26 @@ def test_removal_of_documents_and_spans(docs, items, odd, nothing, monkeypatch):
     assert decontaminate.contamination_report(docs, items.limit(0)).filter("contaminated").count() == 0
     with pytest.raises(ValueError):
         decontaminate.remove_contaminated(docs, items, mode="x")
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert {r["doc_id"] for r in decontaminate.remove_contaminated(docs, items).collect()} == clean
 
 
+def test_few_clean_windows_pass_whatever_the_benchmark_has(spark):
+    grams = spark.range(200_000).selectExpr("10 as size", "transform(sequence(1, 10), k -> concat(id % 50, '-', if(k in (1, 10), 0, id * k))) as gram", "array('1') as item_ids")
+    clean = spark.range(2000).selectExpr("id as doc_id", "0L as text_hash", "transform(sequence(1, 109), k -> concat(id % 50, '-', if(k % 9 = 1, 0, -id * k - k))) as w")
+    passed = decontaminate.scanned(clean, grams).filter("at >= 0").count()
+    assert passed < 0.01 * 2000 * 12 and decontaminate.filter_bits(4_000_000) // 4_000_000 >= 32  # of twelve windows with the end words of all grams
+    assert decontaminate.scanned(clean, grams.limit(0)).count() == 2000
+
+
+def test_items_of_every_length_match(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 13)]
+    docs = [(n, f"a b {t} c") for n, t in items] + [(100, "a b c"), (101, "")]
+    report = decontaminate.contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_hit"], list(r["item_ids"])) for r in report.collect()} == {**{n: (n, [str(n)]) for n, _ in items}, 100: (0, []), 101: (0, [])}
+
+
 def test_no_python_on_native_paths(docs, items):
     for df in (exact_dedup.exact_dedup(docs), decontaminate.contamination_report(docs, items), license_scan.license_report(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -333,6 +349,29 @@ def test_links_of_planted_fingerprints(spark, n, flips):
     assert len(pairs) == len(set(label.tolist())) == len(set(mine))
 
 
+def test_crowded_cells_are_dealt_out_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    alternating = int("01" * 32, 2)  # every segment counts one bit
+    points = set()
+    for _ in range(300):
+        x = alternating
+        for k in rng.choice(32, 16, replace=False):
+            x ^= 3 << (2 * int(k))  # swaps keep all counts
+        for _ in range(4):
+            y = x
+            for b in rng.choice(64, 3, replace=False):
+                y ^= 1 << int(b)
+            points |= {x, y}
+    fps = np.array(sorted(points), np.uint64)
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+    want = components.connected_components(simhash.fingerprint_links(df)).collect()
+    whole = simhash.dealt_cells(df).groupBy("grid", "cell").count().agg({"count": "max"}).first()[0]
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    finer = simhash.dealt_cells(df).groupBy("grid", "cell").count().agg({"count": "max"}).first()[0]
+    got = components.connected_components(simhash.fingerprint_links(df)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 1000 and finer * 10 < whole
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5000, 5000), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
