@@ -55,24 +55,48 @@ class Element:
         return ".".join([self.tag, *(_DIGITS.sub("", m) for m in marks)]) if marks else self.tag
 
 
+class _Open:
+    """The open elements, with the places of each tag among them, so that no end tag has to search."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def innermost(self, tags: set | frozenset) -> int:
+        """Place of the innermost open element of these tags; 0 where there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        for e in self.stack[place:]:
+            self.places[e.tag].pop()
+        del self.stack[place:]
+
+    def close(self, tags: set | frozenset, until: set | frozenset) -> None:
+        """Close the innermost element of ``tags``, unless one of ``until`` lies inside it."""
+        place = self.innermost(tags)
+        if place and place >= self.innermost(until):
+            self.cut(place)
+
+
 def parse(html: str) -> Element:
-    """Tree of a page. Text is unescaped; comments, declarations and broken tails are dropped."""
+    """Tree of a page, in time linear in its length. Text is unescaped; comments, declarations and broken tails are dropped.
+
+    A form inside a form is none, as browsers have it.
+    """
     root = Element("", {})
-    stack = [root]
+    open_ = _Open(root)
+    stack = open_.stack
     at, n = 0, len(html)
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
-    def close(tags: set | frozenset, until: set | frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in until:
-                return
-
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -88,22 +112,22 @@ def parse(html: str) -> Element:
         end, tag, raw = m[1], m[2] or m[4], m[3] if m[2] else m[5]
         if end:
             end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == end:
-                    del stack[k:]
-                    break
-            else:
-                if end == "p" or end == "br":
-                    stack[-1].children.append(Element(end, {}))
+            place = open_.innermost({end})
+            if place:
+                open_.cut(place)
+            elif end == "p" or end == "br":
+                stack[-1].children.append(Element(end, {}))
             continue
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "form" and open_.places.get("form"):
+            continue
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
         if tag in _CLOSES_P:
-            close({"p"}, _P_SCOPE)
+            open_.close({"p"}, _P_SCOPE)
         if tag in _CLOSES:
-            close(*_CLOSES[tag])
+            open_.close(*_CLOSES[tag])
         element = Element(tag, attrs)
         stack[-1].children.append(element)
         if tag in VOID or raw and raw.rstrip().endswith("/") and tag in ("svg", "path", "use"):
@@ -116,5 +140,5 @@ def parse(html: str) -> Element:
             element.children.append(body)
             at = stop.end() if stop else n
             continue
-        stack.append(element)
+        open_.push(element)
     return root

@@ -109,22 +109,22 @@ def is_article(e: Element) -> bool:
     return e.tag in ("article", "main") or e.attrs.get("role", "").lower() in ("main", "article") or e.attrs.get("itemprop") == "articleBody"
 
 
-def _hash(s: str) -> int:
+def _hash(s: str, above: int = 0) -> int:
+    """Signed hash of a text, or of a path: its last label and the hash of what is above."""
     from xxhash import xxh64_intdigest
 
-    x = xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+    x = xxh64_intdigest(s.encode("utf-8", "surrogatepass"), above & (1 << 64) - 1)
     return x - (1 << 64) if x >> 63 else x
 
 
 def style_nodes(root: Element) -> set[tuple[int, int, int]]:
     """(node, kind, content) of a page: kind 0 what a node says itself, 1 how it presents its children, 2 that the page holds it."""
     out: set[tuple[int, int, int]] = set()
-    work = [(root, "")]
+    work = [(root, 0)]  # a path is carried as its hash, so depth costs no memory
     while work:
-        e, path = work.pop()
+        e, node = work.pop()
         own = " ".join(" ".join(c for c in e.children if isinstance(c, str)).split())
         kids = [c for c in e.children if not isinstance(c, str)]
-        node = _hash(path)
         out.add((node, 2, 0))
         if own:
             out.add((node, 0, _hash(own)))
@@ -132,7 +132,7 @@ def style_nodes(root: Element) -> set[tuple[int, int, int]]:
             out.add((node, 1, _hash(" ".join(k.label for k in kids))))
         elif not own:
             out.add((node, 0, _hash("src " + e.attrs.get("src", "") + e.attrs.get("href", ""))))
-        work += [(k, f"{path}/{k.label}") for k in kids if k.tag not in RAW]
+        work += [(k, _hash(k.label, node)) for k in kids if k.tag not in RAW]
     return out
 
 
@@ -148,14 +148,14 @@ def noisy_elements(root: Element, known: dict[int, float]) -> set[int]:
     stay, and so do elements whose own text is not low, and inline parts of
     a running text that stays.
     """
-    order: list[tuple[Element, str, int]] = [(root, "", -1)]
-    for at, (x, path, _) in enumerate(order):  # grows while it is read: parents come before children
-        order += [(k, f"{path}/{k.label}", at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
+    order: list[tuple[Element, int, int]] = [(root, 0, -1)]
+    for at, (x, node, _) in enumerate(order):  # grows while it is read: parents come before children
+        order += [(k, _hash(k.label, node), at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
     below = [(0.0, 0, True)] * len(order)  # sum and number of the children's importance, whether all are noisy
     noisy: set[int] = set()
     for at in range(len(order) - 1, -1, -1):
-        x, path, parent = order[at]
-        own = 1.0 if is_article(x) else known.get(_hash(path), 1.0)
+        x, node, parent = order[at]
+        own = 1.0 if is_article(x) else known.get(node, 1.0)
         total, n, quiet = below[at]
         if n and _says(x):
             total, n = total + own, n + 1
@@ -278,7 +278,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Null and empty html gives an empty text.  A page without a host in its url
     is judged by names alone.  Repeated pages count once in the site's tree and
-    each keep their row.
+    each keep their row.  A page that says only what its site always says keeps
+    that text.  An empty table gives an empty result.
     """
     bound_batches(pages.sparkSession)
     keyed = _keyed(pages, id_col, url_col, html_col)

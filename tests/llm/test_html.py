@@ -1,5 +1,9 @@
 """Extraction of main texts: names, site style tree, broken markup, odd tables."""
 
+import math
+import time
+from collections import Counter, defaultdict
+
 import pytest
 
 from tallyrank.llm import html_extract
@@ -69,6 +73,106 @@ def test_style_tree_inside_articles(spark):
     assert {r["text"] for r in got} == {"Always this"}
 
 
+def naive_site(pages):
+    """Main texts by a style tree that is held as a whole: paths as tuples, every node's contents in one table, recursion."""
+    trees = {html: parse(html) for html in pages}
+    holds, contents = defaultdict(set), defaultdict(lambda: defaultdict(set))
+
+    def own(e):
+        return " ".join(" ".join(c for c in e.children if isinstance(c, str)).split())
+
+    def kids(e):
+        return [c for c in e.children if not isinstance(c, str)]
+
+    def walk(e, path, html):
+        holds[path].add(html)
+        if own(e) or not kids(e):
+            contents[path, "says"][own(e) or ("link", e.attrs.get("src", ""), e.attrs.get("href", ""))].add(html)
+        if kids(e):
+            contents[path, "shows"][tuple(k.label for k in kids(e))].add(html)
+        for k in kids(e):
+            walk(k, (*path, k.label), html)
+
+    for html, tree in trees.items():
+        walk(tree, (), html)
+
+    def importance(path):
+        m, values = len(holds[path]), []
+        if m < html_extract.MIN_PAGES:
+            return 1.0
+        says, shows = [Counter({c: len(p) for c, p in contents[path, kind].items()}) for kind in ("says", "shows")]
+        if says:
+            values.append(1 - sum(math.log(c) / math.log(m) for c in says.values()) / len(says))
+        if shows:
+            n = shows.total()
+            values.append(-sum(c / n * math.log(c / n) for c in shows.values()) / math.log(m))
+        return max(values) if max(values) < html_extract.LOW_IMPORTANCE else 1.0
+
+    def judged(e, path, inside, marks):
+        """(importance, whether all is noise) of an element; marks the noise."""
+        mine = 1.0 if html_extract.is_article(e) else importance(path)
+        below = [judged(k, (*path, k.label), own(e) != "", marks) for k in kids(e)]
+        parts = [v for v, _ in below] + [mine] * bool(below and own(e))
+        value = (1 - html_extract.GAMMA) * mine + html_extract.GAMMA * sum(parts) / len(parts) if parts else mine
+        quiet = all(q for _, q in below) and value < html_extract.LOW_IMPORTANCE and (mine < html_extract.LOW_IMPORTANCE or not own(e))
+        if quiet and (e.tag in html_extract.BLOCK or not path or not inside):
+            marks.add(id(e))
+        return value, quiet
+
+    out = {}
+    for html, tree in trees.items():
+        marks = set()
+        judged(tree, (), False, marks)
+        out[html] = marks and [t for t in texts(tree, marks)] or [t for t in texts(tree, set())]
+    return out
+
+
+def texts(e, marks):
+    """Texts of the blocks below an element without names: the test's pages have none."""
+    line = []
+    for c in e.children:
+        if isinstance(c, str):
+            line.append(c)
+        elif id(c) in marks:
+            line.append(" ")
+        elif c.tag in html_extract.BLOCK:
+            if "".join(line).split():
+                yield " ".join("".join(line).split())
+            line = []
+            yield from texts(c, marks)
+        else:
+            line.append(" ".join(texts(c, marks)))
+    if "".join(line).split():
+        yield " ".join("".join(line).split())
+
+
+def test_the_tree_agrees_with_one_held_as_a_whole(spark):
+    """A site whose articles hold boilerplate without any telling name; the tree decides, as the naive one does."""
+    pages = {}
+    for k in range(24):
+        share = '<div class="q2"><p>Pass this on to a friend</p></div>' if k % 3 else '<div class="q2"><p>Pass this on to all friends</p></div>'
+        extra = f"<ul><li>Point {k}</li><li>Always a point</li></ul>" if k % 2 else f"<blockquote><p>Quote {k}</p><p>Said before</p></blockquote>"
+        pages[k] = f'<html><body><div class="t"><i>Daily</i></div><article><h1>Head {k}</h1><p>Body {k} of it</p>{extra}{share}<section class="z"><p>Written by the desk</p></section></article><div class="e">All rights</div></body></html>'
+    frame = spark.createDataFrame([(k, f"https://tree.example/{k}", h) for k, h in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(frame).collect()}
+    naive = naive_site(list(pages.values()))
+    for k, html in pages.items():
+        article = naive[html]  # what is outside the article is noise by the tree as well
+        assert got[k] == "\n".join(article)
+        assert "desk" in main_text(html) and "Pass this" in main_text(html)  # without the tree they stay
+        assert "desk" not in got[k] and "Pass this" not in got[k] and f"Body {k} of it" in got[k]
+
+
+def test_hostile_pages_take_linear_time():
+    for html in ("<div>" * 50_000 + "x", "<p>a" + "</div>" * 50_000, "<i>" * 25_000 + "</b>" * 25_000, "<p>" + "<i>" * 25_000 + "<p>x" * 25_000, "<form>" * 50_000 + "x"):
+        began = time.process_time()
+        root = parse(html)
+        html_extract.style_nodes(root)
+        html_extract.noisy_elements(root, {1: 0.1})
+        main_text(html, {1: 0.1})
+        assert time.process_time() - began < 6
+
+
 def test_names_inside_articles_count_whole():
     own = '<section id="related-work"><p>a</p></section><h2 id="search-algorithms">b</h2><section id="discussion"><p>c</p></section><h2 id="navigation-systems">d</h2><div class="share-price">e</div><p class="side-effects">f</p><div id="skip-list">g</div><p class="shareholders">h</p>'
     noise = '<div class="post-share">x</div><div class="related_posts">x</div><div id="comments">x</div><p class="lead hidden">x</p><div class="sidebar">x</div><div class="social-share-buttons">x</div>'
