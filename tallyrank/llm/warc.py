@@ -1,21 +1,21 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-The writer makes one gzip member per record and hands the members to Spark's
-own text writer, so files appear through its commit protocol on whatever store
-the path names; the line separator is an empty gzip member, which every gzip
-reader skips.  The reader lists files and lengths with Spark, deals byte ranges
-to tasks, and each task scans its range for the gzip magic, checks each
-candidate by decoding its head, and owns the records that start inside,
-reading past the end of its range only to finish the last one.
+The writer makes one gzip member per record.  Each task writes its members as
+bytes to a draft in the target folder and renames it when it is whole, so a
+repeated task replaces its file; the list of files is committed by Spark as
+``_files``.  The reader lists files and lengths with Spark, deals byte ranges
+evenly to as many tasks as there are ranges (``MAX_READ_TASKS`` at most), and
+each task scans its range for the gzip magic, checks each candidate by decoding
+its head, and owns the records that start inside, reading past the end of its
+range only to finish the last one.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, bound_batches, cut, ensure_checkpoint_dir
+from .common import BROADCAST_BYTES, bound_batches, cut, scratch
 
 MIN_REVISIT_BYTES = 100
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 256 << 10
+MAX_READ_TASKS = 10_000
 MAGIC = b"\x1f\x8b\x08"
-NOTHING = gzip.compress(b"", mtime=0)
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,24 +96,43 @@ def _member(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(record) + packer.flush()
 
 
+def _store(path: str):
+    """(pyarrow's file system of a path, the path in it): local, S3, GCS, HDFS."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
+
 def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> None:
-    """Write the records of :func:`plan_records` as gzip WARC files below ``path``."""
+    """Write the records of :func:`plan_records` as gzip WARC files below ``path``, one for each task that has rows.
+
+    Repeated rows give as many records.  An empty table gives no file but the
+    list.  A folder that holds archives of this writer already is an error.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                members = [
-                    _member(i, u, p, r, date, level)
-                    for i, u, p, r in zip(*(rows.column(k).to_pylist() for k in range(4)))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, folder = _store(path)
+        name = f"part-{task.partitionId():05d}.warc.gz"
+        draft, out, records = f"{folder}/.{name}.{task.taskAttemptId()}", None, 0
+        with ExitStack() as files:
+            for batch in batches:
+                for row in zip(*(batch.column(k) for k in range(4))):
+                    if out is None:
+                        store.create_dir(folder, recursive=True)
+                        out = files.enter_context(store.open_output_stream(draft, compression=None))
+                    page_id, url, payload, refers_to = (v.as_py() for v in row)
+                    out.write(_member(page_id, url, payload, refers_to, date, level))
+                    records += 1
+        if out is not None:
+            store.move(draft, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
 
     bound_batches(planned.sparkSession)
-    members = planned.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to").mapInArrow(work, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
-        "lineSep", NOTHING.decode("latin-1")
-    ).text(path)
+    rows = planned.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to")
+    rows.mapInArrow(work, "file string, records long").write.parquet(f"{path.rstrip('/')}/_files")
 
 
 class _Window:
@@ -201,25 +220,26 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
     """Records (RECORDS) of all gzip WARC files below ``path``, in byte ranges of ``split_bytes``.
 
     Ranges are opened with pyarrow's file systems (local, S3, GCS, HDFS).
-    Bytes that belong to no record are passed over.  Without ``payload`` that column is null.
+    Bytes that belong to no record are passed over, and so are drafts, whose
+    names begin with a dot.  A folder without files has no records.  Without
+    ``payload`` that column is null.
     """
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     ranges = files.select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
-    ranges = ranges.repartition("path", "start")
+    # From one partition rows go round to all others in turn; a number that is given is not coalesced. Paths and lengths alone travel.
+    ranges = ranges.coalesce(1).repartition(max(1, min(ranges.count(), MAX_READ_TASKS)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=RECORDS.names)
 
         for batch in batches:
             for name, size, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                store, inner = fs.FileSystem.from_uri(name if ":/" in name else f"file://{name}")
+                store, inner = _store(name)
                 rows, held = [], 0
                 with store.open_input_file(inner) as file:
                     for record in members_in_range(file, size, start, start + split_bytes):
@@ -235,16 +255,14 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
     return ranges.mapInArrow(work, RECORDS)
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/warc-{uuid.uuid4().hex}"
-
-
 def warc_round_trip(pages: DataFrame, path: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Write ``pages`` as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html is an empty payload.  Repeated rows are records each; those with
+    one id are all responses.  An empty table gives an empty result.  Without
+    ``path`` the archives lie in the shared folder until the session ends.
+    """
     spark = pages.sparkSession
-    path = path or archive_folder(spark)
+    path = path or scratch(spark, "warc")
     write_warc(plan_records(pages), path)
     return read_warc(spark, path, split_bytes, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
