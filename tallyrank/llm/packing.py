@@ -338,14 +338,15 @@ class Packer:
             self._put(own)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     ``ids`` are little-endian unsigned 32-bit token ids; each document ends with
-    id 1.  With ``added``, which the registered queries set, the tokenizer's
-    added tokens get their own ids where a text holds them.  A null or empty text is that one id.  Repeated rows are packed as
-    often as they come.  A sequence belongs to one partition: its number is the
-    partition's in the upper bits and a counter below.
+    id 1.  The tokenizer's added tokens get their own ids where a text holds
+    them, as its library gives them; without ``added`` they are ordinary text.
+    A null or empty text is that one id.  Repeated rows are packed as often as
+    they come; an empty table has no pieces.  A sequence belongs to one
+    partition: its number is the partition's in the upper bits and a counter below.
     """
     bound_batches(docs.sparkSession)
     path = tokenizer
@@ -384,7 +385,10 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """Training rows (sequence_id, ids, length, padded_to) of packed pieces: ids in order, padded with ``pad_id`` to the window unless the length is a power of two."""
+    """Training rows (sequence_id, ids, length, padded_to) of packed pieces: ids in order, padded with ``pad_id`` to the window unless the length is a power of two.
+
+    Pieces have no nulls; no pieces give no rows.
+    """
     joined = pieces.groupBy("sequence_id").agg(
         F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("length")
     )
