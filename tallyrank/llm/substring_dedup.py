@@ -16,11 +16,14 @@ What is left of a frequent phrase are windows that reach over its ends, with eve
 different words beside it.  A pass over all texts therefore counts the stretches
 first, and those that make up more than ``HEAVY`` of all words come last in the
 order of minimisers: a window takes one only where it has no other.  There are
-at most 2 / HEAVY of them, which bounds what is sent to the tasks.  They decide
-where windows meet, never which are equal.
-
-The strings for one bucket and slice are one zstd block.  A bucket is handled
-at a time, in the order of a spilling sort.
+at most 2 / HEAVY of them, which bounds what is sent to the tasks.  They decide where windows meet, never which are equal.
+
+The same pass counts the words, from which the number of buckets follows: one
+holds about ``BUCKET_WORDS`` sent words.  The strings for one bucket and slice
+are one zstd block.  A bucket is handled at a time, in the order of a spilling
+sort; one of more than ``ROUND_WORDS`` is settled in rounds by window hash, so
+that memory stays bounded.  What goes from a document is joined with its
+text where that lies (:func:`join_in_place`).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import expand, flat, slices
-from .common import bound_batches, cut
+from .common import bound_batches, cut, join_in_place
 
 WINDOW = 20
 MER = 4
@@ -41,8 +44,11 @@ LEVEL = 3
 SLICE_BYTES = 8 << 20
 #: Share of all words above which a stretch is heavy.
 HEAVY = 1e-5
-#: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 6
+#: Sent words of a bucket; each word is sent about SENT times.
+BUCKET_WORDS, SENT = 1 << 20, 3.2
+#: Sent words that are settled at once.
+ROUND_WORDS = 1 << 22
+BUCKETS_PER_PARTITION, MAX_PARTITIONS = 6, 50_000
 _C = 0x9E3779B97F4A7C15
 _NO_ID = np.iinfo(np.int64).max
 
@@ -160,7 +166,7 @@ def _runs(values: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _BLOB = "bucket int, head binary, packed binary"
-_RANGES = "d long, h int, start int, count int"
+_RANGES = "d long, h long, start int, count int"
 
 
 def _bytewise(x: np.ndarray) -> bytes:
@@ -172,7 +178,7 @@ def _head(d, h, start, count) -> bytes:
     """Where runs lie, as one zstd block."""
     import zstandard
 
-    d, h = np.ascontiguousarray(d, np.int64), np.ascontiguousarray(h, np.int32)
+    d, h = np.ascontiguousarray(d, np.int64), np.ascontiguousarray(h, np.int64)
     step = np.diff(d, prepend=d[:1] * 0)  # ids ascend in a block, so steps are small
     start, count = np.ascontiguousarray(start, np.int32), np.ascontiguousarray(count, np.int32)
     parts = [np.int64(len(d)).tobytes(), *(_bytewise(x) for x in (step, h, start, count))]
@@ -184,7 +190,7 @@ def _read_head(blob: bytes) -> list[np.ndarray]:
 
     raw = zstandard.decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in (np.int64, np.int32, np.int32, np.int32):
+    for kind in (np.int64, np.int64, np.int32, np.int32):
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
         at += n * width
@@ -192,12 +198,12 @@ def _read_head(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def heavy_stretches(keyed: DataFrame, mer: int = MER, share: float = HEAVY) -> np.ndarray:
-    """Hashes of the stretches that occur more than ``share`` times the number of words, sorted; at most 2 / share.
+def heavy_stretches(keyed: DataFrame, mer: int = MER, share: float = HEAVY) -> tuple[np.ndarray, int]:
+    """(hashes of the stretches that occur more than ``share`` times the number of words, sorted; the number of words).
 
-    A slice reports the stretches that reach half that share of its own words.
-    What it leaves out sums to less than half the share of all words, so every
-    heavy stretch keeps a reported count over half.
+    There are at most 2 / share.  A slice reports the stretches that reach half
+    that share of its own words.  What it leaves out sums to less than half the
+    share of all words, so every heavy stretch keeps a reported count over half.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +223,7 @@ def heavy_stretches(keyed: DataFrame, mer: int = MER, share: float = HEAVY) -> n
     sums = cut(keyed.select("text").mapInArrow(count, "words boolean, h long, n long").groupBy("words", "h").agg(F.sum("n").alias("n")))
     total = sums.filter("words").agg(F.sum("n").alias("n")).first()["n"] or 0
     rows = sums.filter(~F.col("words") & (F.col("n") > share / 2 * total)).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64)), total
 
 
 def _ordered(mers: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -279,13 +285,49 @@ def _super_kmers(batch: pa.RecordBatch, window: int, mer: int, buckets: int, hea
     return out
 
 
-def _settle(blobs: list[tuple[bytes, bytes]], window: int) -> list[np.ndarray]:
+def _sent_words(blobs: list[tuple[bytes, bytes]], window: int) -> tuple[int, int]:
+    """(words, windows) of one bucket."""
+    counts = [_read_head(head)[3] for head, _ in blobs]
+    windows = sum(int(c.sum()) for c in counts)
+    return windows + (window - 1) * sum(map(len, counts)), windows
+
+
+def _one_round(head: bytes, packed: bytes, window: int, rounds: int, k: int) -> tuple[list[np.ndarray], bytes]:
+    """(d, h, start, count) and words of the windows of one block whose hash belongs to round ``k``, each by itself."""
+    import zstandard
+
+    d, h, start, count = _read_head(head)
+    text = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    at = np.concatenate([[0], np.flatnonzero(text == 0x20) + 1])
+    _, hashes = word_numbers(text, at)
+    (whole,) = stretch_hashes(hashes, (window,))
+    word = np.cumsum(count + window - 1, dtype=np.int64) - (count + window - 1)
+    index = expand(word, count.astype(np.int64))
+    own = (whole[index] >> np.uint64(20)) % np.uint64(rounds) == k
+    index, run = index[own], np.repeat(np.arange(len(count)), count)[own]
+    place = expand(start.astype(np.int64), count.astype(np.int64))[own]
+    words = text[expand(at[index], at[index + window] - at[index])]
+    return [d[run], h[run], place.astype(np.int32), np.ones(len(run), np.int32)], words.tobytes()
+
+
+def _settle(blobs: list[tuple[bytes, bytes]], window: int) -> Iterator[list[np.ndarray]]:
     """Ranges (d, h, start, count) of the windows in one bucket that equal an earlier one."""
     import zstandard
 
-    heads = [_read_head(head) for head, _ in blobs]
-    d, h, start, count = (np.concatenate(x) for x in zip(*heads))
-    packed = np.frombuffer(b"".join(zstandard.decompress(p) for _, p in blobs), np.uint8)
+    words, windows = _sent_words(blobs, window)
+    if words <= ROUND_WORDS:
+        heads = [_read_head(head) for head, _ in blobs]
+        yield _repeated([np.concatenate(x) for x in zip(*heads)], b"".join(zstandard.decompress(p) for _, p in blobs), window)
+        return
+    rounds = -(-windows * window // ROUND_WORDS)
+    for k in range(rounds):
+        parts = [_one_round(head, packed, window, rounds, k) for head, packed in blobs]
+        yield _repeated([np.concatenate(x) for x in zip(*(p[0] for p in parts))], b"".join(p[1] for p in parts), window)
+
+
+def _repeated(head: list[np.ndarray], text: bytes, window: int) -> list[np.ndarray]:
+    d, h, start, count = head
+    packed = np.frombuffer(text, np.uint8)
     at = np.concatenate([[0], np.flatnonzero(packed == 0x20) + 1])
     number, hashes = word_numbers(packed, at)
     (whole,) = stretch_hashes(hashes, (window,))
@@ -309,11 +351,17 @@ def _settle(blobs: list[tuple[bytes, bytes]], window: int) -> list[np.ndarray]:
     return [d[run[first]], h[run[first]], place[first], length]
 
 
+def dealing(words: int, least: int) -> tuple[int, int]:
+    """(partitions, buckets) for so many words of text: buckets of one size, and six of them or more to a partition."""
+    buckets = max(least * BUCKETS_PER_PARTITION, int(SENT * words / BUCKET_WORDS))
+    return max(least, min(buckets // BUCKETS_PER_PARTITION, MAX_PARTITIONS)), buckets
+
+
 def repeated_ranges(keyed: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """(d, h, start, count): ``count`` windows from word ``start`` of document (d, h) occur earlier. ``keyed`` has d, h, text."""
-    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * BUCKETS_PER_PARTITION
-    heavy = keyed.sparkSession.sparkContext.broadcast(heavy_stretches(keyed, mer))
+    hashes, words = heavy_stretches(keyed, mer)
+    partitions, buckets = dealing(words, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = keyed.sparkSession.sparkContext.broadcast(hashes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -322,7 +370,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, mer: int = MER) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(head, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "head", "packed"])
 
     def ranges(columns: list[np.ndarray]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), k) for c, k in zip(columns, kinds)], names=["d", "h", "start", "count"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +381,12 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, mer: int = MER) -> D
                     yield ranges(_read_head(head))
                     continue
                 if bucket != now and held:
-                    yield ranges(_settle(held, window))
+                    yield from map(ranges, _settle(held, window))
                     held = []
                 now = bucket
                 held.append((head, packed))
         if held:
-            yield ranges(_settle(held, window))
+            yield from map(ranges, _settle(held, window))
 
     sent = keyed.select("d", "h", "text").mapInArrow(send, _BLOB)
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, _RANGES)
@@ -350,17 +398,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, id_co
     Words are ``[^\x20\x09-\x0D]+``; a word goes if a window over it starts
     earlier too: in a smaller id (null after all; then by the text's hash), or
     earlier in the same document.  Null and empty texts have no words.  Rows
-    equal in id and text are one document, and each gets its result.
+    equal in id and text are one document, and each gets its result.  An empty
+    table gives an empty result.  Ids are below 2**63 - 1, which stands for none.
     """
     bound_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"),
-        F.hash(text).alias("h"), text.cast("binary").alias("text"),
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = own.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     found = repeated_ranges(keyed, window, mer).groupBy("d", "h").agg(F.collect_list(F.struct("start", "count")).alias("r"))
-    found = found.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
-    joined = keyed.join(found, (keyed["d"] == found["__d"]) & (keyed["h"] == found["__h"]), "left").select("doc_id", "text", "starts", "counts")
+    found = cut(found.select(F.nullif("d", F.lit(_NO_ID)).alias("__id"), F.col("h").alias("__h"), F.col("r.start").alias("starts"), F.col("r.count").alias("counts")))
+    joined = join_in_place(own, found, "left", 96 + 8 * F.size("starts"))
+    joined = joined.select("row.doc_id", F.col("row.text").cast("binary").alias("text"), "starts", "counts")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -12,6 +13,7 @@ import pytest
 from tallyrank.llm import common, components, decontaminate, exact_dedup, license_scan, packing, quality, simhash, substring_dedup, toxicity, warc
 from tallyrank.llm.license_texts import KNOWN
 
+SF01 = "/root/testdata/sf0.1"
 RNG = random.Random(11)
 VOCAB = "the of and wörd straße naïve Ab C1 end. stop, x y zz long-word #tag 日本 été".split()
 
@@ -261,14 +263,24 @@ def test_substring_dedup_of_one_row_given_in_two_slices(spark):
 
 def test_heavy_stretches_only_reroute(docs, monkeypatch):
     keyed = docs.selectExpr("cast(coalesce(text, '') as binary) as text")
-    heavy = substring_dedup.heavy_stretches(keyed, 1, 0.02)
-    assert 0 < len(heavy) <= 100
-    assert len(substring_dedup.heavy_stretches(keyed.limit(0))) == 0
-    monkeypatch.setattr(substring_dedup, "heavy_stretches", lambda keyed, mer: heavy)
+    heavy, n = substring_dedup.heavy_stretches(keyed, 1, 0.02)
+    assert 0 < len(heavy) <= 100 and n == sum(len((t or "").encode().split()) for _, t in ROWS)
+    assert [len(substring_dedup.heavy_stretches(keyed.limit(0))[0]), substring_dedup.heavy_stretches(keyed.limit(0))[1]] == [0, 0]
+    monkeypatch.setattr(substring_dedup, "heavy_stretches", lambda keyed, mer: (heavy, n))
     got = by_id(substring_dedup.substring_dedup(docs, 4, 1))
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute_substrings(ROWS, 4)
 
 
+def test_buckets_follow_the_words_and_large_ones_take_rounds(docs, monkeypatch):
+    partitions, buckets = substring_dedup.dealing(10**12, 200)
+    assert 3.2e12 / buckets <= substring_dedup.BUCKET_WORDS * 1.01 and partitions <= substring_dedup.MAX_PARTITIONS
+    assert substring_dedup.dealing(1000, 4) == (4, 24)
+    monkeypatch.setattr(substring_dedup, "ROUND_WORDS", 500)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = by_id(substring_dedup.substring_dedup(docs))
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute_substrings(ROWS, 20)
+
+
 def test_equal_hashes_are_settled_by_words():
     number = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
     same = np.zeros(len(number), np.uint64)
@@ -386,7 +398,6 @@ def check_pieces(rows, pieces):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     of = defaultdict(list)
     seq = defaultdict(list)
     for p in pieces:
@@ -406,7 +417,7 @@ def check_pieces(rows, pieces):
     assert all(s == 2048 or s & (s - 1) == 0 and s < 2048 for s in sizes)
 
 
-SPECIAL = [(900, "<|endoftext|> x"), (901, "don't  stop now 　 ok  a"), (902, "  lead"), (903, "trail  "), (904, "\n\n"), (905, "a\u0085 b"), (906, "é è \x7f x")]
+SPECIAL = [(900, "<|endoftext|> x"), (907, "a <|endoftext|> b"), (908, "x<|endoftext|>"), (909, "<|endoftext|><|endoftext|>  <|endoftext"), (901, "don't  stop now 　 ok  a"), (902, "  lead"), (903, "trail  "), (904, "\n\n"), (905, "a\u0085 b"), (906, "é è \x7f x")]
 
 
 def test_packing(spark, docs, nothing):
@@ -433,7 +444,7 @@ def test_registered_ids_are_those_of_the_unmodified_tokenizer(spark, tmp_path):
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "plain  text"), (4, None), (5, ""), (6, "<|endoftext|>"), (7, "<|endoftext| >"), *((10 + i, t) for i, t in enumerate(TEXTS))]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
     got = defaultdict(list)
-    for p in packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), added=True).collect():
+    for p in packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect():
         got[p["doc_id"]].append((p["start"], p["ids"]))
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in rows}
     assert {i: b"".join(x for _, x in sorted(own)) for i, own in got.items()} == ids
@@ -491,14 +502,115 @@ def test_toxicity_tolerates_disguise():
     scorer = toxicity.Scorer(model := toxicity.train(texts, np.array(toxic)))
     import pyarrow as pa
 
-    score = lambda xs: model.probability(scorer.worst(pa.array(xs, pa.string())))
+    score = lambda xs: model.probability(scorer.evidence(pa.array(xs, pa.string())))
     assert ((score(texts) >= toxicity.THRESHOLD) == np.array(toxic)).mean() > 0.99
-    hidden = ["aa bo g.r.i.m.b.l.o.t da", "aa g r i m b l o t da", "bo zwaff-len", "SNORKITE!", "bo grimbblot da"]
+    hidden = ["aa bo g.r.i.m.b.l.o.t da", "aa g r i m b l o t da", "bo zwaff-len", "SNORKITE!", "bo grimbblot da", "aa gr1mbl0t bo", "aa snor kite bo", "aa grimb bo grimlot"]
     assert (score(hidden) >= toxicity.THRESHOLD).all()
     plain = score(["", None, "!!! ...", " ".join(clean[:50])])
     assert (plain < toxicity.THRESHOLD).all() and ((plain >= 0) & (plain <= 1)).all()
 
 
+def naive_kernel(x, y):
+    """Sum over common three-letter subsequences within the span of the products of their weights, normalised."""
+    def features(s):
+        out = defaultdict(float)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def dot(u, v):
+        return sum(w * v[f] for f, w in u.items() if f in v)
+
+    a, b = features(x), features(y)
+    return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+
+def test_windows_are_compared_by_the_gap_weighted_kernel():
+    words = ["idiot", "idxiot", "idit", "abcabc", "worthles", "wörtlich", "xyz", "id^iot"]
+    points = toxicity.windows_of([w for w in words])[0]
+    order = toxicity.windows_of(words)[1]
+    index, weight = toxicity.subsequences(points)
+    dense = [defaultdict(float) for _ in words]
+    for row, k in enumerate(order):
+        for f, w in zip(index[row].tolist(), weight[row].tolist()):
+            dense[k][f] += w
+    for a in range(len(words)):
+        for b in range(len(words)):
+            mine = sum(w * dense[b][f] for f, w in dense[a].items() if f in dense[b])
+            length = [sum(w * w for w in d.values()) ** 0.5 for d in (dense[a], dense[b])]
+            assert mine / length[0] / length[1] == pytest.approx(naive_kernel("^" + words[a], "^" + words[b]), abs=1e-3)
+
+
+def test_the_machine_is_the_nystrom_one():
+    """Folded weights score a window as the embedding of its kernel values with the landmarks does."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    points, _ = toxicity.windows_of(words)
+    y = np.where(np.arange(60) % 3 == 0, 1.0, -1.0)
+    model = toxicity._fit(points, y, np.ones(60), points[:20])
+
+    def features(p):
+        index, weight = toxicity.subsequences(p)
+        out = np.zeros((len(p), 1 << toxicity.DIM_LOG2))
+        np.add.at(out, (np.arange(len(p))[:, None], index), weight)
+        return out
+
+    all_, base = features(points), features(points[:20])
+    values, vectors = np.linalg.eigh(base @ base.T)
+    x = all_ @ base.T @ (vectors / np.sqrt(np.maximum(values, 1e-3)))
+    w = toxicity._svm(x, y, np.ones(60))
+    assert model.windows(points) == pytest.approx(x @ w[:-1] + w[-1], abs=1e-3)
+
+
+def test_evidence_is_the_best_mixture():
+    ratios = np.exp(np.linspace(-4, 9, 2 * len(toxicity.STEPS))).reshape(2, -1)
+    rng = np.random.default_rng(1)
+    doc, margin = np.repeat(np.arange(5), 30), rng.uniform(-3, 4, 150)
+    pair = np.arange(150) % 4 == 0
+    got = toxicity.Units(doc, margin, pair, np.full(5, 25)).evidence(ratios)
+    for d in range(5):
+        near = [(ratios[int(p), int((m + 1) // 0.25)]) for m, p in zip(margin[doc == d], pair[doc == d]) if m >= -1]
+        best = max(sum(np.log(1 - s + s * r) for r in near) + max(25 - len(near), 0) * np.log(1 - s) for s in toxicity.SHARES)
+        assert got[d] == pytest.approx(max(best, 0))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test tables")
+def test_toxicity_on_held_out_labels():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    docs = {r["doc_id"]: r for r in pq.read_table(f"{SF01}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()}
+    rows = [(docs[r["doc_id"]], r["toxic"] == 1, zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in pq.read_table(f"{SF01}/labels.parquet").to_pylist() if r["doc_id"] in docs]
+    learn = [(d["text"] or "", t) for d, t, held in rows if not held and len(d["text"] or "") <= toxicity.SAMPLE_CHARS]
+    scorer = toxicity.Scorer(model := toxicity.train([x for x, _ in learn], np.array([t for _, t in learn])))
+    shuffled = [learn[k] for k in np.random.default_rng(0).permutation(len(learn))]
+    again = toxicity.train([x for x, _ in shuffled], np.array([t for _, t in shuffled]))
+    assert (again.weights == model.weights).all() and again.shift == model.shift
+
+    def score(texts):
+        return np.concatenate([model.probability(scorer.evidence(pa.array(texts[k : k + 200], pa.string()))) for k in range(0, len(texts), 200)])
+
+    held = [(d, t) for d, t, h in rows if h]
+    said = score([d["text"] or "" for d, _ in held]) >= toxicity.THRESHOLD
+    truth = np.array([t for _, t in held])
+    assert (said & truth).sum() >= 0.92 * truth.sum() and (said & truth).sum() >= 0.92 * said.sum()
+    english = np.array([d["lang"] == "en" for d, _ in held])
+    assert not (said & ~truth & english).any()
+    rng = random.Random(5)
+    clean = [(d["text"] or "").split()[:12] for d, t in held if d["lang"] == "en" and not t]
+    insults = "trash pathetic idiot disgusting worthless stupid clown loser scum moron".split()
+    hidden = []
+    for word in insults * 20:
+        at = rng.randrange(1, len(word))
+        form = word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:] if rng.random() < 0.5 else word[:at] + word[at + 1 :]
+        own = list(rng.choice(clean))
+        own.insert(rng.randrange(len(own) + 1), form)
+        hidden.append(" ".join(own))
+    assert (score(hidden) >= toxicity.THRESHOLD).mean() >= 0.88
+
+
 def test_classifiers_with_one_label_or_none():
     assert toxicity.train([], np.array([], bool)).tokens(["x"])[0] < 0
     assert toxicity.train(["a b"], np.array([True])).tokens(["a"])[0] < 0
@@ -568,7 +680,20 @@ def test_warc_round_trip(spark, tmp_path, split):
     full = {r["page_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w"), split).collect()}
     assert bytes(full[7]["payload"]) == b"y" * 700_000 and full[1]["url"] == "http://h.example/a?b%20c%0A"
     for file in (tmp_path / "w").glob("part-*"):
-        assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n") or file.stat().st_size == 0
+        assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n")
+    assert not list((tmp_path / "w").glob(".part-*"))
+
+
+def test_warc_ranges_are_read_by_as_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefgh", k=2000))) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    warc.write_warc(warc.plan_records(pages), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w"), 40_000).select("page_id", F.spark_partition_id().alias("p")).collect()
+    ranges = sum(-(-f.stat().st_size // 40_000) for f in (tmp_path / "w").glob("part-*"))
+    assert sorted(r["page_id"] for r in got) == list(range(300)) and len({r["p"] for r in got}) == ranges > 5
 
 
 def test_warc_passes_over_foreign_bytes(spark, tmp_path):

@@ -47,7 +47,7 @@ def test_pipeline(spark, tmp_path):
     model = toxicity.train_on(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
     import pyarrow as pa
 
-    worst = model.probability(toxicity.Scorer(model).worst(pa.array(texts, pa.string())))
+    worst = model.probability(toxicity.Scorer(model).evidence(pa.array(texts, pa.string())))
     left = {i: t or "" for i, t in enumerate(texts) if worst[i] < toxicity.THRESHOLD}
     assert not any("Grimblot" in t for t in left.values()) and len(left) > 50
     seen = {}
