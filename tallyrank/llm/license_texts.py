@@ -1,4 +1,4 @@
-"""Texts of well-known short licences, and notices that name a licence in one line."""
+"""Texts of well-known short licences, digests of long ones, and phrases by which a notice names a licence."""
 
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
@@ -15,7 +15,7 @@ _MIT = """Permission is hereby granted, free of charge, to any person obtaining
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 """
 
-#: (licence, "text" of the whole licence or a one-line "notice", words)
+#: (licence, "text", words of the whole licence)
 KNOWN = [
     ("MIT", "text", _MIT + _WARRANTY_MIT),
     ("MIT", "text", "MIT License\n" + _MIT + _WARRANTY_MIT),
@@ -42,16 +42,6 @@ For more information, please refer to <https://unlicense.org>"""),
     ("Apache-2.0", "text", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "notice", "Released under the MIT License."),
-    ("MIT", "notice", "Licensed under the MIT License."),
-    ("GPL-3.0-only", "notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "notice", "SPDX-License-Identifier: CC0-1.0"),
-    ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "notice", "SPDX-License-Identifier: MIT"),
-    ("BSD-3-Clause", "notice", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 
 #: Spellings that count as equal, after case and punctuation are gone: (spelling, its equal).
@@ -79,30 +69,30 @@ OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib Z
 
 # Names by which one line calls a licence.
 _NAMES = {
-    "AGPL-3.0-only": ["GNU Affero General Public License, version 3"],
-    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"],
     "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
     "BSL-1.0": ["Boost Software License, Version 1.0"],
     "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
-    "GPL-2.0-only": ["GNU General Public License, version 2"],
-    "GPL-3.0-only": ["GNU General Public License, version 3"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU GPL version 2", "GPLv2", "GPL-2.0"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU GPL version 3", "GPLv3", "GPL-3.0"],
     "ISC": ["ISC License"],
     "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1"],
-    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3"],
-    "MIT": ["MIT License"],
-    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "LGPLv3"],
+    "MIT": ["MIT License", "MIT"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"],
     "Zlib": ["zlib License"],
     **{i: [i.replace("CC-BY", "CC BY").replace("CC0-", "CC0 ").replace("-2.0", " 2.0").replace("-3.0", " 3.0").replace("-4.0", " 4.0")] for i in _SPDX if i.startswith("CC")},
 }
 
 #: More notices, beside KNOWN: (licence, "notice", words)
 MORE_NOTICES = [(i, "notice", f"SPDX-License-Identifier: {i}") for i in _SPDX] + [
-    (i, "notice", f"{start} {the}{name}.")
+    (i, "notice", f"{start} under {the}{name}")
     for i, names in _NAMES.items()
     for name in names
-    for start in ("Licensed under", "Released under", "This work is licensed under")
-    for the in ("", "the ")
+    for start in ("licensed", "released", "distributed", "available", "published")
+    for the in ("", "the ", "the terms of the ")
 ]
 
 #: (licence, digest of the canonical text) of texts too long to be held here, some also without their appendix.

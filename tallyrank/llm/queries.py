@@ -75,7 +75,8 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 def _license_sql() -> str:
     """The licence scan in SQL: every known text is put in canonical form by the same SQL as the documents."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ",\n".join(f"({quoted(i)}, {quoted(k)}, {quoted(t)})" for i, k, t in license_scan.KNOWN)
+    known = ",\n".join(f"({quoted(i)}, {quoted(k)}, {quoted(t)})" for i, k, t in license_scan.KNOWN + license_scan.MORE_NOTICES)
+    digests = ", ".join(f"({quoted(g)}, 'text', {quoted(i)}, 0)" for i, g in license_scan.TEXT_DIGESTS)
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     text = f"translate({text}, {quoted(license_scan.TYPOGRAPHIC)}, {quoted(' ' * len(license_scan.TYPOGRAPHIC))})"
     text = rf"regexp_replace({text}, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
@@ -85,14 +86,23 @@ def _license_sql() -> str:
       lambda x: x <> '' AND NOT regexp_matches(x, '^(copyright|c copyright|c [0-9]{{4}}|all rights reserved)\b'))"""
     return rf"""
 WITH given(license_id, kind, text) AS (VALUES {known}),
+named_text AS (SELECT license_id, kind, array_to_string({lines}, ' ') AS t FROM given),
 known AS (
-  SELECT sha256(array_to_string(l, ' ')) AS g, kind, min(license_id) AS license_id
-  FROM (SELECT license_id, kind, {lines} AS l FROM given) WHERE len(l) > 0 GROUP BY 1, 2
+  SELECT g, kind, min(license_id) AS license_id, any_value(size) AS size FROM (
+    SELECT sha256(t) AS g, kind, license_id, len(string_split(t, ' ')) AS size FROM named_text WHERE t <> ''
+    UNION ALL SELECT * FROM (VALUES {digests})
+  ) GROUP BY 1, 2
 ),
+sizes AS (SELECT DISTINCT size FROM known WHERE kind = 'notice'),
+firsts AS (SELECT DISTINCT string_split(t, ' ')[1] AS f FROM named_text WHERE kind = 'notice'),
 doc AS (SELECT doc_id, {lines} AS l FROM documents),
 whole AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS text_digest FROM doc),
+line AS (SELECT doc_id, k, string_split(l[k], ' ') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM doc)),
+start AS (SELECT doc_id, k, i, w FROM (SELECT doc_id, k, w, unnest(range(1, len(w) + 1)) AS i FROM line) JOIN firsts ON w[i] = f),
 named AS (
-  SELECT doc_id, license_id FROM (SELECT doc_id, unnest(l) AS x FROM doc) JOIN known ON kind = 'notice' AND g = sha256(x)
+  SELECT doc_id, license_id FROM start, sizes JOIN known ON kind = 'notice' AND known.size = sizes.size
+  WHERE i + sizes.size - 1 <= len(w) AND g = sha256(array_to_string(w[i : i + sizes.size - 1], ' '))
+  QUALIFY row_number() OVER (PARTITION BY doc_id, k, i ORDER BY sizes.size DESC) = 1
 ),
 text AS (SELECT doc_id, text_digest, license_id AS whole_license FROM whole LEFT JOIN known ON kind = 'text' AND g = text_digest),
 every AS (

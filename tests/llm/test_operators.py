@@ -718,11 +718,11 @@ def test_license_scan(spark, odd, nothing):
     mit = next(t for i, k, t in KNOWN if i == "MIT" and k == "text")
     rows = [
         (1, "Copyright (c) 2020 Someone\n" + mit.upper()), (2, mit.replace("sublicense", "sub-license").replace(",", " ,").replace("\n", "\n\n")),
-        (3, mit + " more"), (4, "Text.\nLicensed under CC BY-NC 4.0\n  licensed UNDER cc-by-nc 4.0. \nReleased under the MIT Licence."), (5, None), (6, ""), (7, "© 2001 All"),
+        (3, mit + " more"), (4, "Text.\nLicensed under CC BY-NC 4.0\n  licensed UNDER cc-by-nc 4.0. \nReleased under the MIT Licence."), (8, "All of it is, if not said otherwise, distributed under the terms of the MIT License; the rest is licensed under GPLv3, see there."), (5, None), (6, ""), (7, "© 2001 All"),
     ]
     got = by_id(license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {i: (r["whole_license"], r["licenses"], r["n_notices"]) for i, r in got.items()} == {
-        1: ("MIT", "MIT", 0), 2: ("MIT", "MIT", 0), 3: (None, "", 0), 4: (None, "CC-BY-NC-4.0,MIT", 3), 5: (None, "", 0), 6: (None, "", 0), 7: (None, "", 0),
+        1: ("MIT", "MIT", 0), 2: ("MIT", "MIT", 0), 3: (None, "", 0), 4: (None, "CC-BY-NC-4.0,MIT", 3), 8: (None, "GPL-3.0-only,MIT", 2), 5: (None, "", 0), 6: (None, "", 0), 7: (None, "", 0),
     }
     assert len(license_scan.license_report(odd).collect()) == 8 and license_scan.license_report(nothing).collect() == []
 
@@ -739,6 +739,25 @@ def test_license_scan_knows_common_identifiers_and_long_texts(spark, monkeypatch
     assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"} <= {i for i, _ in license_scan.TEXT_DIGESTS}
 
 
+def test_whole_licenses_as_in_sql(spark, tmp_path):
+    """A table of whole licences, some changed, against the SQL twin: the join of whole texts does work here."""
+    duckdb = pytest.importorskip("duckdb")
+    from tallyrank.llm.queries import ORACLE_SQL, op10_license_scan
+
+    folder = "/usr/share/common-licenses"
+    long_ = [open(f"{folder}/{n}", encoding="utf-8").read() for n in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+    texts = [t for _, kind, t in KNOWN if kind == "text"] + long_
+    rows = [(10 * k + j, v) for k, t in enumerate(texts) for j, v in enumerate((t, "  Copyright 2020 A\n" + t.upper(), t.replace(" ", "  ") + "\n", t + " or so", "Released under the MIT License, or\n" + t))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, op10_license_scan(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(db.execute(ORACLE_SQL["op10_license_scan"]).fetchall())
+    whole = {r[0]: r[2] for r in got}
+    assert all(whole[10 * k] and whole[10 * k] == whole[10 * k + 1] == whole[10 * k + 2] for k in range(len(KNOWN)))
+    assert len({v for v in whole.values() if v}) >= 8 + 6 * bool(long_) and not any(whole[10 * k + 3] for k in range(len(texts)))
+
+
 def test_checkpoints_follow_the_session(spark):
     common.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
