@@ -8,8 +8,6 @@ packed pieces.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,28 +15,31 @@ from tallyrank.llm import common, decontaminate, exact_dedup, packing, simhash,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold, by a model of the labelled documents among these."""
+    """Documents below the toxicity threshold, by a model of the labelled documents among these.
+
+    Null and empty texts stay, repeated rows go or stay together; without labels of both kinds nothing goes.
+    """
     return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the longest original, then the smallest id. Null texts count as empty, repeated rows as one."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
+    """One document of each component of linked fingerprints: that of the smallest id. Texts without words are one component."""
     return simhash.near_dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; an empty benchmark drops nothing."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    pieces = packing.pack(docs, added=True)
+    """Pieces of token sequences. A null or empty text is one closing token; repeated rows are packed as often as they come; no documents give no pieces."""
+    pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,13 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``sf_dir``'s documents."""
-    common.ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over ``sf_dir``'s documents. A stage's table is removed when the next one is written, the last with the session."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        folder = common.scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/docs")
+        docs = spark.read.parquet(f"{folder}/docs")
+        if before:
+            common.remove_folder(spark, before)
+        before = folder
     return docs
