@@ -84,17 +84,32 @@ def prune(df: DataFrame, score: Expr, tau: float, stats: dict[str, Interval], sl
     return df if found is None else df.filter(found)
 
 
+#: Rows that are read for a first threshold where no seed is given, besides twenty for each of the answer.
+SEED_ROWS = 1000
+#: Share of surviving rows above which a filter is not worth its cost.
+MOST_SURVIVORS = 0.5
+
+
 def pruned_top_k(df: DataFrame, query: Query, seed: DataFrame | None = None, stats: dict[str, Interval] | None = None, doc: str = DOC, ident: str = ID) -> DataFrame:
     """The answer of ``top_k`` over ``df``, by two passes: a seed for the threshold, then the rest that can reach it.
 
-    Without a ``seed`` a hundredth of the rows is taken, by a hash of the
-    document id; without ``stats`` the fields' ranges are measured.
+    Without a ``seed`` the first rows of each partition are taken, which stops
+    its scan early; without ``stats`` the fields' ranges are measured.  Where
+    over MOST_SURVIVORS of the seed would pass the filter, the plain query runs.
     """
     if query.limit == 0:
         return best_first(scored_rows(df, query.score, query.min_score, doc, ident), query)
+    fields = query.score.fields()
     if seed is None:
-        seed = df.filter(F.pmod(F.xxhash64(F.col(doc)), F.lit(100)) == 0)
-    tau = threshold(seed, query, doc, ident)
-    if tau is not None:
-        df = prune(df, query.score, tau, stats if stats is not None else measured_stats(df, query.score.fields()))
+        seed = df.limit(SEED_ROWS + 20 * (query.offset + query.limit))
+    seed = seed.select(*dict.fromkeys([doc, ident, *(n for n in fields if n in seed.columns)])).persist()
+    try:
+        tau = threshold(seed, query, doc, ident)
+        if tau is not None:
+            stats = stats if stats is not None else measured_stats(df, fields)
+            count = seed.count()
+            if count and prune(seed, query.score, tau, stats).count() <= MOST_SURVIVORS * count:
+                df = prune(df, query.score, tau, stats)
+    finally:
+        seed.unpersist()
     return best_first(scored_rows(df, query.score, query.min_score, doc, ident), query)

@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.pruned import pruned_top_k
-from .operators.topk import Query, linear_query, score_all, top_k
-from .sources.ingest import from_long
+from .operators.topk import DOC, ID, Query, linear_query, parse_weights, score_all, top_k
+from .sources.files import scratch
+from .sources.ingest import from_long, read_csv, read_fixed_width, read_json_lines, to_wide
+from .sources.store import MemoryStore, Store
+from .sources.versions import VersionedStore
+from .streaming.feed import feed, read_json_stream
 
 KEYS = {"orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey", "events": "event_id", "documents": "doc_id"}
 
@@ -69,6 +73,123 @@ def _wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_long(events, "u", "event_type", "value", ["click", "purchase", "view"])
 
 
+def _records(spark: SparkSession, sf_dir: str, name: str, fields: dict[str, str]) -> DataFrame:
+    """Wide rows (id, fields) of a table, in the order of its key."""
+    rows = table(spark, sf_dir, name).orderBy(KEYS[name])
+    return rows.select(F.col(KEYS[name]).cast("string").alias("id"), *[F.col(c).cast("float").alias(f) for f, c in fields.items()])
+
+
+_ORDER_FIELDS = {"price": "o_totalprice", "cust": "o_custkey"}
+_STORE_QUERY = Query(["sum", _F("price"), ["scale", 30, _F("cust")]], limit=25)
+
+
+def _order_store(spark: SparkSession, sf_dir: str, **options) -> Store:
+    """All orders in two batches, by key: cheap ones and dear ones, so that batches differ in range."""
+    store, rows = Store(spark, scratch(spark)), _records(spark, sf_dir, "orders", _ORDER_FIELDS)
+    store.append(rows.filter("price < 300000"), **options)
+    store.append(rows.filter("price >= 300000"), **options)
+    return Store(spark, store.path)  # opened anew
+
+
+def _store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_store(spark, sf_dir).read().select("id", "price", "cust")
+
+
+def _store_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_store(spark, sf_dir).read().select(F.col(DOC).alias("doc"), ID)
+
+
+def _store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_store(spark, sf_dir).query(_STORE_QUERY, pruned=False)
+
+
+def _store_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_store(spark, sf_dir).query(_STORE_QUERY)
+
+
+def _store_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_store(spark, sf_dir, cluster_by=["price"]).query(_STORE_QUERY)
+
+
+def _store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _order_store(spark, sf_dir)
+    store.compact(["cust", "price"])
+    return Store(spark, store.path).query(_STORE_QUERY)
+
+
+def _store_of_unlike_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of batches with different fields: a field that a batch lacks is null there."""
+    store = Store(spark, scratch(spark))
+    store.append(_records(spark, sf_dir, "customer", {"balance": "c_acctbal", "nation": "c_nationkey"}))
+    store.append(_records(spark, sf_dir, "supplier", {"balance": "s_acctbal"}))
+    return store.read().select("id", "balance", "nation")
+
+
+def _store_single_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, scratch(spark))
+    store.append(_records(spark, sf_dir, "supplier", {"balance": "s_acctbal"}))
+    store.index("best", {"balance": 1e6})
+    store.index("1", {"balance": 1e6})
+    return store.query(Query(_F("balance"), limit=10))
+
+
+def _memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = MemoryStore(spark)
+    rows = _records(spark, sf_dir, "part", {"size": "p_size", "price": "p_retailprice"})
+    store.bulk_index(rows.select("id", F.create_map(F.lit("size"), "size", F.lit("price"), "price").alias("values")))
+    return store.query(Query(["product", _F("size"), _F("price")], limit=30))
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of JSON lines of all customers, some keys in capitals, with lines that are none among them."""
+    rows = table(spark, sf_dir, "customer")
+    values = F.create_map(F.lit("balance"), F.col("c_acctbal").cast("float"), F.lit("nation"), F.col("c_nationkey").cast("float"))
+    line = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("Id"), values.alias("values")))
+    folder = f"{scratch(spark)}/lines"
+    rows.select(line.alias("value")).unionByName(spark.createDataFrame([("{not json",), ("",)], "value string")).write.text(folder)
+    return folder
+
+
+def _ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_wide(read_json_lines(spark, _json_lines(spark, sf_dir))).filter("id is not null")
+
+
+def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells are no numbers and so missing."""
+    folder = f"{scratch(spark)}/csv"
+    table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").write.csv(folder, header=True)
+    return read_csv(spark, folder, id_column="c_custkey")
+
+
+def _ingest_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/fixed"
+    rows = table(spark, sf_dir, "part")
+    rows.select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 10, " "), F.lpad(F.col("p_size").cast("string"), 4, "0"), F.lpad(F.col("p_retailprice").cast("string"), 12, " ")).alias("value")).write.text(folder)
+    return read_fixed_width(spark, folder, {"id": (1, 10), "size": (11, 4), "price": (15, 12)})
+
+
+def _stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    store = Store(spark, f"{root}/store")
+    feed(read_json_stream(spark, _json_lines(spark, sf_dir)), store, f"{root}/checkpoint").awaitTermination()
+    store.reload()
+    return store.read().select("id", "balance", "nation")
+
+
+def _version_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first version is served; a later one appears and answers after the next look."""
+    root = scratch(spark)
+    Store(spark, f"{root}/orders-1").append(_records(spark, sf_dir, "supplier", {"price": "s_acctbal"}))
+    served = VersionedStore(spark, root, "orders-")
+    Store(spark, f"{root}/orders-2").append(_records(spark, sf_dir, "orders", _ORDER_FIELDS))
+    served.refresh()
+    return served.query(Query(_F("price"), limit=15))
+
+
+def _parsed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "part"), linear_query(parse_weights("p_size=20, p_retailprice=-0.5"), 30, None), "p_partkey", "p_partkey")
+
+
 _CURVE = [[1, 5], [10, 1], [10, 8], [30, 3], [45, 9]]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -102,6 +223,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_query_floor0": _linear,
     "score_all_lineitem": _all_lineitem,
     "ingest_long_to_wide": _wide_events,
+    "ingest_json_lines": _ingest_json,
+    "ingest_csv": _ingest_csv,
+    "ingest_fixed_width": _ingest_fixed,
+    "stream_feed": _stream_feed,
+    "store_round_trip": _store_round_trip,
+    "store_document_ids": _store_ids,
+    "store_topk": _store_topk,
+    "store_pruned_topk": _store_pruned,
+    "store_clustered_topk": _store_clustered,
+    "store_compacted_topk": _store_compacted,
+    "store_union_of_batches": _store_of_unlike_batches,
+    "store_single_inserts": _store_single_inserts,
+    "memory_store_topk": _memory_store,
+    "version_swap": _version_swap,
+    "linear_query_parsed": _parsed_weights,
     "pruned_topk_sum": _ranked("orders", _SUM_ORDERS, prune=True),
     "pruned_topk_sum_ties": _ranked("part", _SUM_PART, prune=True, limit=20),
     "pruned_topk_product": _ranked("part", ["product", _F("p_size"), _F("p_retailprice")], prune=True),
@@ -217,6 +353,35 @@ SELECT CAST(user_id AS VARCHAR) AS id, max(CAST(value AS REAL)) FILTER (event_ty
 FROM events GROUP BY user_id
 """,
 }
+_STORE_TOPK_SQL = f"""
+WITH s AS (SELECT o_orderkey AS k, {_TOTAL} + {_r('o_custkey')} * {_r(30)} AS score, o_totalprice >= 300000 AS late FROM orders),
+r AS (SELECT k, CAST(score AS REAL) AS score, row_number() OVER (ORDER BY CAST(score AS REAL) DESC, late DESC, k DESC) AS rank FROM s)
+SELECT rank, CAST(k AS VARCHAR) AS id, score FROM r WHERE rank <= 25
+"""
+_CUSTOMERS_SQL = f"SELECT CAST(c_custkey AS VARCHAR) AS id, {_BAL} AS balance, {_r('c_nationkey')} AS nation FROM customer"
+ORACLE_SQL |= {
+    "ingest_json_lines": _CUSTOMERS_SQL,
+    "ingest_csv": f"SELECT CAST(c_custkey AS VARCHAR) AS id, {_BAL} AS c_acctbal, {_r('c_nationkey')} AS c_nationkey, CAST(NULL AS REAL) AS c_mktsegment FROM customer",
+    "ingest_fixed_width": f"SELECT CAST(p_partkey AS VARCHAR) AS id, {_SIZE} AS size, {_PRICE} AS price FROM part",
+    "stream_feed": _CUSTOMERS_SQL,
+    "store_round_trip": f"SELECT CAST(o_orderkey AS VARCHAR) AS id, {_TOTAL} AS price, {_r('o_custkey')} AS cust FROM orders",
+    "store_document_ids": """
+SELECT row_number() OVER (ORDER BY CAST(o_totalprice AS REAL) >= 300000, o_orderkey) AS doc, CAST(o_orderkey AS VARCHAR) AS id FROM orders
+""",
+    "store_topk": _STORE_TOPK_SQL,
+    "store_pruned_topk": _STORE_TOPK_SQL,
+    "store_clustered_topk": _STORE_TOPK_SQL,
+    "store_compacted_topk": _STORE_TOPK_SQL,
+    "store_union_of_batches": f"{_CUSTOMERS_SQL} UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CAST(s_acctbal AS REAL), CAST(NULL AS REAL) FROM supplier",
+    "store_single_inserts": """
+WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_acctbal AS REAL) AS score, s_suppkey AS k FROM supplier
+           UNION ALL SELECT 'best', CAST(1000000 AS REAL), 100000000 UNION ALL SELECT '1', CAST(1000000 AS REAL), 100000001)
+SELECT row_number() OVER (ORDER BY score DESC, k DESC) AS rank, id, score FROM r ORDER BY score DESC, k DESC LIMIT 10
+""",
+    "memory_store_topk": _top("part", f"{_SIZE} * {_PRICE}", 30),
+    "version_swap": _top("orders", _TOTAL, 15),
+    "linear_query_parsed": _top("part", f"{_SIZE} * {_r(20)} + {_PRICE} * {_r(-0.5)}", 30),
+}
 ORACLE_SQL |= {
     "pruned_topk_sum": _top("orders", _SUM_ORDERS_SQL, 10),
     "pruned_topk_sum_ties": ORACLE_SQL["topk_sum_weighted"],
@@ -227,8 +392,13 @@ ORACLE_SQL |= {
 }
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, which have no key, with their place in the file as the document id: the same however files are split."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.withColumn(DOC, items.metadataColumn("_metadata").getField("row_index") + 1)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sum of quantity and tax over line items, by line."""
-    items = table(spark, sf_dir, "lineitem").withColumn("_doc_id", F.monotonically_increasing_id() + 1)
     query = Query(["sum", _F("l_quantity"), ["scale", 2, _F("l_tax")]], limit=10)
-    return top_k(items.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), query)
+    return top_k(numbered_lines(spark, sf_dir).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), query)

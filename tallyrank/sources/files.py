@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class Folder:
-    """A directory; creation is atomic by rename, reading and listing are whole."""
+    """A directory; reading and listing are whole.
+
+    Creation writes a draft and renames it, which is atomic where a rename is
+    (HDFS, local disks).  On an object store without atomic renames two writers
+    that commit the same name at the same moment must be kept apart by others.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path.rstrip("/")
@@ -53,3 +61,18 @@ class Folder:
             self._fs.delete(draft, False)
             return False
         return True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, in a local session below a temporary folder. It goes with the session's JVM."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tallyrank-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return str(path.toString())

@@ -28,12 +28,12 @@ def from_records(spark: SparkSession, records: Iterable[tuple[str, Mapping[str,
 
 def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines {"id": ..., "values": {...}}; keys match in any case. A malformed line becomes a record without values."""
-    schema = "id string, `values` map<string,float>"
-    text = spark.read.text(path)
-    return _parsed_lines(text, schema)
+    return parse_json_lines(spark.read.text(path))
 
 
-def _parsed_lines(text: DataFrame, schema: str) -> DataFrame:
+def parse_json_lines(text: DataFrame) -> DataFrame:
+    """(id, values) of a frame of lines (value STRING), also a streaming one."""
+    schema = "id string, `values` map<string,float>"
     named = F.regexp_replace(F.regexp_replace("value", r'(?i)"id"(\s*:)', '"id"$1'), r'(?i)"values"(\s*:)', '"values"$1')
     return text.select(F.from_json(named, schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.id", F.col("r.values").alias("values"))
 

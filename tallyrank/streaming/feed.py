@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.ingest import _parsed_lines
+from ..sources.ingest import parse_json_lines
 from ..sources.store import Store
 
 
 def read_json_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """(id, values) of JSON-lines files as they appear in ``folder``."""
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return _parsed_lines(text, "id string, `values` map<string,float>")
+    return parse_json_lines(text)
 
 
 def feed(records: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:

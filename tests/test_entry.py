@@ -25,3 +25,16 @@ def test_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     fresh = importlib.reload(entry)
     assert set(fresh.queries()) == set(QUERIES) and fresh.oracle_sql() == ORACLE_SQL
+
+
+def test_a_missing_dependency_of_the_subpackage_is_an_error(monkeypatch):
+    import pytest
+
+    for name in [m for m in sys.modules if m.startswith("tallyrank.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    pytest.importorskip("tallyrank.llm")
+    for name in [m for m in sys.modules if m.startswith("tallyrank.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "pyarrow", None)
+    with pytest.raises(ImportError):
+        importlib.reload(entry).queries()
