@@ -199,7 +199,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Forest:
-    """Forest trained on the driver from the statistics of at most 2 * SAMPLE_ROWS labelled documents, none held out."""
+    """Forest trained on the driver from the statistics of at most 2 * SAMPLE_ROWS labelled documents, none held out.
+
+    Null texts count as empty, null ids and labels are left out; of an id's labels one counts.  Without rows the score is a half everywhere.
+    """
     own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).filter("__id is not null and label in (0, 1)")
     own = own.filter(~held_out(F.col("__id"), 4, 2)).dropDuplicates(["__id"])
     order = [F.xxhash64("__id"), F.col("__id")]
@@ -219,7 +222,10 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Forest:
 
 
 def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns quality_score (0 to 1) and good, over whole texts; null is empty."""
+    """``docs`` with the columns quality_score (0 to 1) and good, over whole texts.
+
+    Null is empty; equal texts score alike, however often they come; an empty table gives an empty one.
+    """
 
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
@@ -233,6 +239,10 @@ def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> Da
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    A null text scores as an empty one, a null id is held out, repeated rows
+    each get their row, and an empty table gives an empty report.
+    """
     scored = score_quality(docs.select("doc_id", "text"), train_on(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("quality_score").alias("score"), F.col("good").cast("int").alias("predicted"))

@@ -637,6 +637,44 @@ def test_forest_learns_and_walks_like_its_trees():
     assert forest.margin(x[:20]) == pytest.approx([walk(r) for r in x[:20]])
 
 
+def naive_statistics(text):
+    import math
+    from collections import Counter
+
+    raw = text.encode()
+    members = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "blank": " \t", "newline": "\n\r\x0b\x0c", "stop": ".,;:?", "shout": "!", "bar": "|", "quote": "'\"()-"}
+    chars = max(len(text), 1)
+    out = {"log_chars": math.log1p(len(text))}
+    for name, those in members.items():
+        out[f"share_{name}"] = sum(c in those for c in text) / chars
+    out["share_wide"] = sum(ord(c) > 127 for c in text) / chars
+    out["share_other"] = sum(ord(c) < 128 and not any(c in those for those in members.values()) for c in text) / chars
+    out["entropy"] = -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0
+    words = text.split()
+    n, lines = max(len(words), 1), text.split("\n")
+    out["log_words"] = math.log1p(len(words))
+    out["word_length"] = sum(map(len, words)) / n
+    out["word_spread"] = math.sqrt(max(sum(len(w) ** 2 for w in words) / n - out["word_length"] ** 2, 0))
+    out["distinct_words"] = len(set(words)) / n
+    out["top_word"] = max(Counter(words).values(), default=0) / n
+    out["distinct_pairs"] = len(set(zip(words, words[1:]))) / max(len(words) - 1, 1)
+    out["ends_stop"] = sum(w[-1] in ".,;:?" for w in words) / n
+    out["capital"] = sum("A" <= w[0] <= "Z" for w in words) / n
+    out["all_upper"] = sum(sum("A" <= c <= "Z" for c in w) > 1 and not any("a" <= c <= "z" for c in w) for w in words) / n
+    out["no_letter"] = sum(not any(c.isascii() and c.isalpha() or ord(c) > 127 for c in w) for w in words) / n
+    out["log_lines"] = math.log1p(len(lines))
+    out["repeated_lines"] = 1 - len(set(lines)) / len(lines)
+    out["line_length"] = len(text) / len(lines)
+    return [out[f] for f in quality.FEATURES]
+
+
+def test_statistics_are_those_of_a_naive_count():
+    import pyarrow as pa
+
+    texts = [t or "" for t in TEXTS] + ["A. B, c!! | 12 (x) - \"q\"\nA. B\n\nA. B", "ÄÖ ÜÜ ßß\n日本 語", "NASA the THE 9 9 9 9"]
+    assert quality.statistics(pa.array(texts, pa.string())) == pytest.approx(np.array([naive_statistics(t) for t in texts]), rel=1e-4, abs=1e-5)
+
+
 def test_statistics_of_odd_texts():
     import pyarrow as pa
 
