@@ -59,11 +59,10 @@ LANDMARKS = 320
 ROUNDS = 2
 FOLDS = 2
 PENALTY = 5.0
-#: Letters of two neighbouring words up to which they are also read as one.
-PAIR_LETTERS = 8
+#: Letters of two neighbouring words, together, with which they are also read as one.
+LEAST_PAIR, PAIR_LETTERS = 4, 8
 #: Most witnesses, those whose variants are made, and negative units of a fit.
 WITNESSES, VARIED, NEGATIVES = 1500, 150, 6000
-CACHE_TOKENS = 100_000
 SLICE_BYTES = 4 << 20
 NO_WORDS = -4.0
 #: Margins below the first are those of plain words; shares of insults that are tried.
@@ -397,7 +396,7 @@ def units(sentence: str) -> list[str]:
     """What windows are taken from: the letters of each word, of two short neighbours with a mark between, and of runs of single letters."""
     parts = [p for p in (letters(t) for t in sentence.split()) if p]
     out = list(parts)
-    out += [f"{a}^{b}" for a, b in zip(parts, parts[1:]) if len(a) + len(b) <= PAIR_LETTERS]
+    out += [f"{a}^{b}" for a, b in zip(parts, parts[1:]) if LEAST_PAIR <= len(a) + len(b) <= PAIR_LETTERS]
     run: list[str] = []
     for p in [*parts, ""]:
         if len(p) == 1:
@@ -409,47 +408,63 @@ def units(sentence: str) -> list[str]:
     return out
 
 
+def letters_of(tokens: pa.Array) -> pa.Array:
+    """:func:`letters` of each token; one by one only where signs may stand for letters."""
+    signs = pc.match_substring_regex(tokens, r"[0134578@$]")
+    plain = pc.utf8_lower(pc.replace_substring_regex(tokens, r"[^\pL]+", ""))
+    if not pc.any(signs).as_py():
+        return plain
+    return pc.replace_with_mask(plain, signs, pa.array([letters(t) for t in tokens.filter(signs).to_pylist()], pa.large_string()))
+
+
+class _Words:
+    """Distinct words of a slice as code points, one after the other."""
+
+    def __init__(self, names: pa.Array):
+        self.names = names.to_pylist()
+        self.size = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        self.start = np.cumsum(self.size) - self.size
+        self.codes = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def rows(self, own: np.ndarray, n: int) -> np.ndarray:
+        """Code points of words of one length, a row each."""
+        return self.codes[self.start[own, None] + np.arange(n)]
+
+
 class Scorer:
-    """Evidence against whole texts, with the margins of seen tokens kept up to a bound."""
+    """Evidence against whole texts."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, tuple[float, str]] = {}
-
-    def _of_tokens(self, raw: list[str]) -> tuple[np.ndarray, list[str]]:
-        """(margin, letters) of raw tokens."""
-        if len(self.known) > CACHE_TOKENS:
-            self.known.clear()
-        new = [t for t in raw if t not in self.known]
-        if new:
-            plain = [letters(t) for t in new]
-            distinct = list(dict.fromkeys(p for p in plain if p))
-            value = dict(zip(distinct, self.model.tokens(distinct).tolist())) if distinct else {}
-            self.known.update((t, (value.get(p, NO_WORDS), p)) for t, p in zip(new, plain))
-        got = [self.known[t] for t in raw]
-        return np.array([g[0] for g in got], np.float32), [g[1] for g in got]
-
-    def _of_pairs(self, a: np.ndarray, b: np.ndarray, plain: list[str], size: np.ndarray) -> np.ndarray:
-        """Margins of pairs of tokens, given by number."""
-        codes = np.zeros((len(plain), PAIR_LETTERS), np.uint32)
-        for n in range(1, PAIR_LETTERS):
-            own = np.flatnonzero(size == n)
-            if len(own):
-                codes[own, :n] = np.frombuffer("".join(plain[k] for k in own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+
+    def _best(self, points: np.ndarray) -> np.ndarray:
+        """Greatest margin of each row's windows; rows are marked code points of one length."""
+        if points.shape[1] <= WIDTH:
+            return self.model.windows(np.pad(points, ((0, 0), (0, WIDTH - points.shape[1]))))
+        view = np.lib.stride_tricks.sliding_window_view(points, WIDTH, axis=1)
+        return self.model.windows(view.reshape(-1, WIDTH)).reshape(len(points), -1).max(axis=1)
+
+    def _of_words(self, words: _Words) -> np.ndarray:
+        out = np.full(len(words.size), NO_WORDS, np.float32)
+        for n in np.unique(words.size[words.size > 0]).tolist():
+            own = np.flatnonzero(words.size == n)
+            step = max(1, (1 << 17) // n)
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                out[some] = self._best(np.hstack([np.full((len(some), 1), ord("^"), np.uint32), words.rows(some, n)]))
+        return out
+
+    def _of_pairs(self, a: np.ndarray, b: np.ndarray, words: _Words) -> np.ndarray:
+        """Margins of pairs of words, given by number."""
         out = np.full(len(a), NO_WORDS, np.float32)
-        shape = size[a] * (PAIR_LETTERS + 1) + size[b]
+        shape = words.size[a] * (PAIR_LETTERS + 1) + words.size[b]
         for kind in np.unique(shape).tolist():
             n, m = divmod(kind, PAIR_LETTERS + 1)
             own = np.flatnonzero(shape == kind)
-            for start in range(0, len(own), 1 << 14):
-                rows = own[start : start + (1 << 14)]
-                mark = np.full((len(rows), 1), ord("^"), np.uint32)
-                points = np.hstack([mark, codes[a[rows], :n], mark, codes[b[rows], :m]])
-                if points.shape[1] <= WIDTH:
-                    out[rows] = self.model.windows(np.pad(points, ((0, 0), (0, WIDTH - points.shape[1]))))
-                else:
-                    view = np.lib.stride_tricks.sliding_window_view(points, WIDTH, axis=1)
-                    out[rows] = self.model.windows(view.reshape(-1, WIDTH)).reshape(len(rows), -1).max(axis=1)
+            for at in range(0, len(own), 1 << 14):
+                some = own[at : at + (1 << 14)]
+                mark = np.full((len(some), 1), ord("^"), np.uint32)
+                out[some] = self._best(np.hstack([mark, words.rows(a[some], n), mark, words.rows(b[some], m)]))
         return out
 
     def evidence(self, column: pa.Array) -> np.ndarray:
@@ -460,23 +475,24 @@ class Scorer:
         if not len(tokens) or self.model.ratios is None:
             return np.zeros(len(counts))
         coded = tokens.dictionary_encode()
-        margin, plain = self._of_tokens(coded.dictionary.to_pylist())
-        size = np.array([len(p) for p in plain], np.int64)
-        index = coded.indices.to_numpy().astype(np.int64)
+        # Spellings with the same letters are one word.
+        spelt = letters_of(coded.dictionary).dictionary_encode()
+        words = _Words(spelt.dictionary)
+        margin, size, n = self._of_words(words), words.size, len(words.size)
+        index = spelt.indices.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
         doc = np.repeat(np.arange(len(counts)), counts)
         filled = size[index] > 0  # what has no letter does not keep words apart
         index, doc = index[filled], doc[filled]
-        # Spellings with the same letters are one unit.
-        same = {p: k for k, p in enumerate(plain)}
-        number = np.array([same[p] for p in plain], np.int64)
-        word = np.unique(doc * len(plain) + number[index])
-        a, b = number[index[:-1]], number[index[1:]]
-        near = np.flatnonzero((doc[1:] == doc[:-1]) & (size[a] + size[b] <= PAIR_LETTERS))
-        key, which = np.unique(a[near] * len(plain) + b[near], return_inverse=True)
-        both = np.unique(doc[near] * max(len(key), 1) + which)
-        docs = [word // len(plain), both // max(len(key), 1)]
-        margins = [margin[word % len(plain)], self._of_pairs(key // len(plain), key % len(plain), plain, size)[both % max(len(key), 1)]]
-        words = np.bincount(docs[0], minlength=len(counts))
+        word = pc.unique(pa.array(doc * n + index)).to_numpy()
+        a, b = index[:-1], index[1:]
+        both = size[a] + size[b]
+        near = np.flatnonzero((doc[1:] == doc[:-1]) & (both >= LEAST_PAIR) & (both <= PAIR_LETTERS))
+        pairs = pa.array(a[near] * n + b[near]).dictionary_encode()
+        key, most = pairs.dictionary.to_numpy(), max(len(pairs.dictionary), 1)
+        both = pc.unique(pa.array(doc[near] * most + pairs.indices.to_numpy())).to_numpy()
+        docs = [word // n, both // most]
+        margins = [margin[word % n], self._of_pairs(key // n, key % n, words)[both % most]]
+        distinct = np.bincount(docs[0], minlength=len(counts))
         # Runs of three single letters and more, each joined to one unit.
         single = np.flatnonzero(size[index] == 1)
         if len(single) > 2:
@@ -485,11 +501,11 @@ class Scorer:
             last = np.concatenate([breaks, [len(single)]])
             runs = np.flatnonzero(last - first >= 3)
             if len(runs):
-                joined = ["".join(plain[t] for t in index[single[first[k] : last[k]]]) for k in runs]
+                joined = ["".join(words.names[t] for t in index[single[first[k] : last[k]]]) for k in runs]
                 margins[0] = np.concatenate([margins[0], self.model.tokens(joined)])
                 docs[0] = np.concatenate([docs[0], doc[single[first[runs]]]])
         pair = np.arange(len(docs[0]) + len(docs[1])) >= len(docs[0])
-        return Units(np.concatenate(docs), np.concatenate(margins), pair, words).evidence(self.model.ratios)
+        return Units(np.concatenate(docs), np.concatenate(margins), pair, distinct).evidence(self.model.ratios)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list:
