@@ -61,6 +61,8 @@ FOLDS = 2
 PENALTY = 5.0
 #: Letters of two neighbouring words, together, with which they are also read as one.
 LEAST_PAIR, PAIR_LETTERS = 4, 8
+#: Standard errors by which a pair of words must be more frequent in toxic documents to be a witness.
+PAIR_ERRORS = 8.0
 #: Most witnesses, those whose variants are made, and negative units of a fit.
 WITNESSES, VARIED, NEGATIVES = 1500, 150, 6000
 SLICE_BYTES = 4 << 20
@@ -303,18 +305,23 @@ def _machine(corpus: _Corpus, of: np.ndarray, seed: int) -> Model:
     if not n1 or not n0 or not a.any() or not b.any():
         return nothing_is_toxic()
     lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    single = np.array(["^" not in u and len(u) > 2 for u in corpus.names])
     z = (a / n1 - b / n0) / np.sqrt(np.maximum((a + b) / (n1 + n0), 1e-9) * (1 / n1 + 1 / n0))
+    pair = np.array(["^" in u for u in corpus.names])
+    single = ~pair & np.array([len(u) > 2 for u in corpus.names])
+    # There are so many pairs of words that chance alone makes some stand out.
+    beyond = np.where(pair, PAIR_ERRORS, 4.0)
+    own = toxic[corpus.doc]
     for least in (8, 5, 3, 2, 1):
-        chosen = (a >= least) & (lift >= 6) & (z > 4 if least > 2 else z > 0)
-        if (chosen & single).sum() >= 3 or chosen.any() and least <= 2:
+        chosen = (a >= least) & (lift >= 6) & (z > (beyond if least > 2 else np.where(pair, PAIR_ERRORS, 0)))
+        explained = len(np.unique(corpus.doc[own][chosen[corpus.token[own]]])) == n1
+        if explained or (chosen & single).sum() >= 3 or chosen.any() and least <= 2:
             break
     witness = np.flatnonzero(chosen) if chosen.any() else np.array([int(np.argmax(z))])
     present = np.flatnonzero(b)
     model, margin = None, np.zeros(len(corpus.names), np.float32)
     for _ in range(ROUNDS):
         if model is not None:
-            grown = np.flatnonzero((a >= 2) & (lift >= 4) & (margin > -0.2))
+            grown = np.flatnonzero((a >= 2) & (lift >= 4) & (~pair | (z > PAIR_ERRORS)) & (margin > -0.2))
             witness = np.union1d(witness, grown)
         witness = witness[np.argsort(-a[witness], kind="stable")][:WITNESSES]
         alphabet = sorted({c for u in present[rng.permutation(len(present))[:2000]] for c in corpus.names[u] if c.isalpha()}) or ["x"]
