@@ -65,9 +65,8 @@ def main() -> None:
         times[name] = round(statistics.median(own), 4)
     began = time.perf_counter()
     engine.QUERIES["score_all_lineitem"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-    times["store_append"] = appended
     times["score_all_lineitem"] = round(time.perf_counter() - began, 4)
-    print(json.dumps({"metric": "median seconds of headline queries, summed", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))
+    print(json.dumps({"metric": "median seconds of headline queries, summed", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "store_append": appended, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))
 
 
 if __name__ == "__main__":
