@@ -23,17 +23,17 @@ BLOCK = frozenset(
 _CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend optgroup option summary dd dt li".split()) | frozenset("dd dt li".split())
 #: A start tag closes an open element of these kinds, unless one of the others lies between.
 _CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "body": ({"head"}, set()),
+    "li": (("li",), frozenset({"ul", "ol", "menu", "dir"})),
+    "dt": (("dt", "dd"), frozenset({"dl"})),
+    "dd": (("dt", "dd"), frozenset({"dl"})),
+    "tr": (("tr", "td", "th"), frozenset({"table"})),
+    "td": (("td", "th"), frozenset({"tr", "table"})),
+    "th": (("td", "th"), frozenset({"tr", "table"})),
+    "tbody": (("tbody", "thead", "tfoot"), frozenset({"table"})),
+    "thead": (("tbody", "thead", "tfoot"), frozenset({"table"})),
+    "tfoot": (("tbody", "thead", "tfoot"), frozenset({"table"})),
+    "option": (("option",), frozenset({"select", "datalist"})),
+    "body": (("head",), frozenset()),
 }
 _P_SCOPE = frozenset("table td th caption button object template html body article section div main aside nav header footer li dd blockquote form fieldset".split())
 _DIGITS = re.compile(r"\d+")
@@ -66,9 +66,10 @@ class _Open:
         self.places.setdefault(e.tag, []).append(len(self.stack))
         self.stack.append(e)
 
-    def innermost(self, tags: set | frozenset) -> int:
-        """Place of the innermost open element of these tags; 0 where there is none."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0 where there is none."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
 
     def cut(self, place: int) -> None:
         """Close the element at ``place`` and all inside it."""
@@ -76,10 +77,10 @@ class _Open:
             self.places[e.tag].pop()
         del self.stack[place:]
 
-    def close(self, tags: set | frozenset, until: set | frozenset) -> None:
+    def close(self, tags: tuple[str, ...], until: frozenset) -> None:
         """Close the innermost element of ``tags``, unless one of ``until`` lies inside it."""
-        place = self.innermost(tags)
-        if place and place >= self.innermost(until):
+        place = max(map(self.last, tags))
+        if place and (place == len(self.stack) - 1 or place >= max(map(self.last, until), default=0)):
             self.cut(place)
 
 
@@ -112,7 +113,7 @@ def parse(html: str) -> Element:
         end, tag, raw = m[1], m[2] or m[4], m[3] if m[2] else m[5]
         if end:
             end = end.lower()
-            place = open_.innermost({end})
+            place = open_.last(end)
             if place:
                 open_.cut(place)
             elif end == "p" or end == "br":
@@ -125,7 +126,7 @@ def parse(html: str) -> Element:
             continue
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
         if tag in _CLOSES_P:
-            open_.close({"p"}, _P_SCOPE)
+            open_.close(("p",), _P_SCOPE)
         if tag in _CLOSES:
             open_.close(*_CLOSES[tag])
         element = Element(tag, attrs)

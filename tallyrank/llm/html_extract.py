@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .arrowtext import slices
 from .common import BROADCAST_BYTES, bound_batches, cut
@@ -111,12 +113,14 @@ def is_article(e: Element) -> bool:
 
 def _hash(s: str, above: int = 0) -> int:
     """Signed hash of a text, or of a path: its last label and the hash of what is above."""
-    from xxhash import xxh64_intdigest
-
     x = xxh64_intdigest(s.encode("utf-8", "surrogatepass"), above & (1 << 64) - 1)
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Paths recur on the pages of a host.
+_path_hash = lru_cache(1 << 16)(_hash)
+
+
 def style_nodes(root: Element) -> set[tuple[int, int, int]]:
     """(node, kind, content) of a page: kind 0 what a node says itself, 1 how it presents its children, 2 that the page holds it."""
     out: set[tuple[int, int, int]] = set()
@@ -132,7 +136,7 @@ def style_nodes(root: Element) -> set[tuple[int, int, int]]:
             out.add((node, 1, _hash(" ".join(k.label for k in kids))))
         elif not own:
             out.add((node, 0, _hash("src " + e.attrs.get("src", "") + e.attrs.get("href", ""))))
-        work += [(k, _hash(k.label, node)) for k in kids if k.tag not in RAW]
+        work += [(k, _path_hash(k.label, node)) for k in kids if k.tag not in RAW]
     return out
 
 
@@ -150,7 +154,7 @@ def noisy_elements(root: Element, known: dict[int, float]) -> set[int]:
     """
     order: list[tuple[Element, int, int]] = [(root, 0, -1)]
     for at, (x, node, _) in enumerate(order):  # grows while it is read: parents come before children
-        order += [(k, _hash(k.label, node), at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
+        order += [(k, _path_hash(k.label, node), at) for k in x.children if not isinstance(k, str) and k.tag not in RAW]
     below = [(0.0, 0, True)] * len(order)  # sum and number of the children's importance, whether all are noisy
     noisy: set[int] = set()
     for at in range(len(order) - 1, -1, -1):
